@@ -34,8 +34,9 @@ def age_days(kickoff: Column, priced_on: Column) -> Column:
 
 
 def mixed_date(text: Column) -> Column:
-    """Day-first date with a two- or four-digit year."""
+    """Day-first date with a two- or four-digit year; two digits from 69 on mean the 1900s."""
     short = F.try_to_timestamp(text, F.lit("dd/MM/yy"))
+    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200).cast("timestamp")).otherwise(short)
     long = F.try_to_timestamp(text, F.lit("dd/MM/yyyy"))
     iso = F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))
     return F.coalesce(short, long, iso).cast("date")

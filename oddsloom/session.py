@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,8 @@ def checked_broadcast(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """
     kept = df.persist()
     return broadcast_if_small(kept, max_rows)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate files, inside the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
