@@ -1,3 +1,10 @@
 """Match and odds analytics as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Task functions travel to the executors by value, so workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -60,10 +60,18 @@ def region(goals: int, keep: Callable[[int, int], bool]) -> list[int]:
 
 
 def region_sum(grid: Column, goals: int, keep: Callable[[int, int], bool]) -> Column:
-    """Probability of a fixed region of the grid."""
-    inside = set(region(goals, keep))
-    mask = F.array(*[F.lit(1.0 if i in inside else 0.0) for i in range((goals + 1) ** 2)])
-    return F.aggregate(F.zip_with(grid, mask, lambda p, m: p * m), F.lit(0.0), lambda s, v: s + v)
+    """Probability of a fixed region of the grid, reading only the smaller of region and complement."""
+    inside = region(goals, keep)
+    outside = region(goals, lambda h, a: not keep(h, a))
+
+    def total(positions: list[int]) -> Column:
+        if not positions:
+            return F.lit(0.0)
+        return F.aggregate(
+            F.array(*[F.lit(i) for i in positions]), F.lit(0.0), lambda s, i: s + F.get(grid, i)
+        )
+
+    return total(inside) if len(inside) <= len(outside) else 1.0 - total(outside)
 
 
 def outcome_probs(grid: Column, goals: int = GRID_GOALS) -> Column:
@@ -88,29 +96,20 @@ def team_over(grid: Column, goals: int, side: str, line: float) -> Column:
     return region_sum(grid, goals, lambda h, a: (h if side == "home" else a) > line)
 
 
-def goal_gap_probs(grid: Column, goals: int) -> Column:
-    """Probability of each home-minus-away gap, from -goals to +goals."""
-    return F.array(
-        *[region_sum(grid, goals, lambda h, a, g=gap: h - a == g) for gap in range(-goals, goals + 1)]
-    )
-
-
 def handicap_probs(grid: Column, goals: int, line: Column) -> Column:
     """Struct of P(home covers), P(away covers), P(push) for a handicap added to the home score."""
-    gaps = goal_gap_probs(grid, goals)
+    n = goals + 1
+    gaps = F.array(*[F.lit(float(i // n - i % n)) for i in range(n * n)])
 
-    def pick(gap_probs: Column) -> Column:
-        def part(test):
-            kept = F.transform(gap_probs, lambda p, i: F.when(test(i - goals + line), p).otherwise(0.0))
-            return F.aggregate(kept, F.lit(0.0), lambda s, v: s + v)
+    def part(test: Callable[[Column], Column]) -> Column:
+        kept = F.zip_with(grid, gaps, lambda p, g: F.when(test(g + line), p).otherwise(0.0))
+        return F.aggregate(kept, F.lit(0.0), lambda s, v: s + v)
 
-        return F.struct(
-            part(lambda x: x >= 1e-9).alias("home"),
-            part(lambda x: x <= -1e-9).alias("away"),
-            part(lambda x: F.abs(x) < 1e-9).alias("push"),
-        )
-
-    return F.transform(F.array(gaps), pick)[0]
+    return F.struct(
+        part(lambda x: x >= 1e-9).alias("home"),
+        part(lambda x: x <= -1e-9).alias("away"),
+        part(lambda x: F.abs(x) < 1e-9).alias("push"),
+    )
 
 
 def handicap_conditional(grid: Column, goals: int, line: Column) -> Column:

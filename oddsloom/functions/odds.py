@@ -1,7 +1,7 @@
 """From quoted odds to fair probabilities, and from there to blended ones.
 
 All of it is plain Catalyst expressions over arrays ordered home, draw, away: the two methods
-without a closed form bisect inside ``aggregate`` over a constant sequence, so no row leaves the JVM.
+without a closed form take Newton steps inside ``aggregate`` over a constant sequence, so no row leaves the JVM.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from ..constants import (
     STALE_FLOOR, STALE_MIN_DAYS,
 )
 
-BISECTION_STEPS = 60
 NEWTON_STEPS = 16
 
 
@@ -40,22 +39,6 @@ def quoted(odds: Column) -> Column:
     return ok[0] & ok[1] & ok[2]
 
 
-def _bisect(lo: float, hi: float, too_low) -> Column:
-    """Midpoint after halving [lo, hi] a fixed number of times; ``too_low(x)`` keeps the upper half."""
-    start = F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
-
-    def step(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2.0
-        low = too_low(mid)
-        return F.struct(
-            F.when(low, mid).otherwise(acc["lo"]).alias("lo"),
-            F.when(low, acc["hi"]).otherwise(mid).alias("hi"),
-        )
-
-    steps = F.sequence(F.lit(1), F.lit(BISECTION_STEPS))
-    return F.aggregate(steps, start, step, lambda acc: (acc["lo"] + acc["hi"]) / 2.0)
-
-
 def fair_proportional(odds: Column) -> Column:
     return normalise(implied(odds))
 
@@ -84,16 +67,24 @@ def fair_power(odds: Column) -> Column:
 
 
 def shin_share(odds: Column) -> Column:
-    """Share z of informed money under which the insider-trading margin model sums to one."""
-    booked = book_sum(odds)
+    """Share z of informed money under which the insider-trading margin model sums to one.
 
-    def total(z):
-        return sum(
-            (F.sqrt(z * z + 4.0 * (1.0 - z) / (odds[i] * odds[i] * booked)) - z) / (2.0 * (1.0 - z))
-            for i in range(3)
-        )
+    Sum p(z) = 1 is sum(sqrt(z^2 + 4 (1 - z) c)) = 2 + z with c = (1/o)^2 / booksum: convex in z, so
+    Newton steps from 0 climb to the smaller root without passing it.
+    """
+    squares = F.transform(odds, lambda o: 1.0 / (o * o * book_sum(odds)))
+
+    def newton(c: Column) -> Column:
+        def step(z: Column, _: Column) -> Column:
+            roots = F.transform(c, lambda v: F.sqrt(z * z + 4.0 * (1.0 - z) * v))
+            both = F.struct(
+                _sum(roots).alias("total"), _sum(F.zip_with(roots, c, lambda r, v: (z - 2.0 * v) / r)).alias("slope")
+            )
+            return F.transform(F.array(both), lambda b: z - (b["total"] - z - 2.0) / (b["slope"] - 1.0))[0]
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step)
 
-    return _bisect(0.0, 1.0 - 1e-9, lambda z: total(z) > 1.0)
+    return F.transform(F.array(squares), newton)[0]
 
 
 def fair_shin(odds: Column) -> Column:

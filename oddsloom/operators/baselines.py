@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,7 +14,11 @@ from ..functions.markets import market_hit
 from ..functions.outcomes import outcome_index
 from ..session import checked_broadcast
 
-_EARLIER = W.partitionBy("league").orderBy("week").rowsBetween(W.unboundedPreceding, -1)
+
+def earlier_weeks() -> WindowSpec:
+    """Everything before the current week of the league; rows are one per league and week."""
+    return W.partitionBy("league").orderBy("week").rowsBetween(W.unboundedPreceding, -1)
+
 
 
 def with_week(df: DataFrame) -> DataFrame:
@@ -31,7 +35,7 @@ def outcome_frequencies(played: DataFrame) -> DataFrame:
     o = outcome_index(F.col("fthg"), F.col("ftag"))
     weekly = _weekly(played, {f"n{k}": F.count_if(o == k) for k in range(3)})
     run = weekly.select(
-        "league", "week", *[F.coalesce(F.sum(f"n{k}").over(_EARLIER), F.lit(0)).alias(f"c{k}") for k in range(3)]
+        "league", "week", *[F.coalesce(F.sum(f"n{k}").over(earlier_weeks()), F.lit(0)).alias(f"c{k}") for k in range(3)]
     )
     total = F.col("c0") + F.col("c1") + F.col("c2")
     share = lambda c: F.when(total > 0, F.col(c) / total).otherwise(1.0 / 3.0)
@@ -48,10 +52,10 @@ def market_frequencies(played: DataFrame) -> DataFrame:
     """(league, week, market, freq): earlier share of each derived market's positive side."""
     sums = {m: F.sum(market_hit(m, F.col("fthg"), F.col("ftag"))) for m in DERIVED_MARKETS}
     weekly = _weekly(played, {"n": F.count("*"), **sums})
-    prior_n = F.coalesce(F.sum("n").over(_EARLIER), F.lit(0))
+    prior_n = F.coalesce(F.sum("n").over(earlier_weeks()), F.lit(0))
     run = weekly.select(
         "league", "week", prior_n.alias("prior_n"),
-        *[F.coalesce(F.sum(m).over(_EARLIER), F.lit(0)).alias(m) for m in DERIVED_MARKETS],
+        *[F.coalesce(F.sum(m).over(earlier_weeks()), F.lit(0)).alias(m) for m in DERIVED_MARKETS],
     )
     packed = F.array(
         *[

@@ -311,7 +311,7 @@ halves AS (SELECT league, match, i, list_aggregate(string_split(match, '-')[:i],
 names AS (SELECT DISTINCT league, l AS name FROM halves UNION SELECT DISTINCT league, r FROM halves),
 cand AS (SELECT n.league, n.name, t.team, CASE WHEN t.team = n.name THEN 1 WHEN lower(t.team) = lower(n.name) THEN 3 ELSE 4 END AS stage
   FROM names n JOIN teams t ON t.league = n.league AND (contains(lower(t.team), lower(n.name)) OR contains(lower(n.name), lower(t.team)))),
-top AS (SELECT league, name, stage, min(team) AS team, count(*) AS n FROM cand c GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY league, name ORDER BY stage) = 1),
+top AS (SELECT league, name, stage, min(team) AS team, count(*) AS n FROM cand c GROUP BY league, name, stage QUALIFY row_number() OVER (PARTITION BY league, name ORDER BY stage) = 1),
 part AS (SELECT league, name, count(*) AS n_any FROM cand GROUP BY ALL),
 res AS (SELECT top.league, top.name, team FROM top JOIN part USING (league, name) WHERE (stage < 4 AND n = 1) OR (stage = 4 AND n_any = 1)),
 ok AS (SELECT h.league, h.match, a.team AS home, b.team AS away FROM halves h JOIN res a ON a.league = h.league AND a.name = h.l JOIN res b ON b.league = h.league AND b.name = h.r WHERE a.team <> b.team)

@@ -79,8 +79,10 @@ def result_cells(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.csv(
         path, schema="line string", sep="\u0001", quote="", encoding="ISO-8859-1", recursiveFileLookup=True
-    ).select(F.col("_metadata.file_path").alias("file"), "line", F.col("_metadata.file_block_start").alias("block"))
-    parts = F.transform(F.split("line", COMMA_OUTSIDE_QUOTES), lambda v: F.trim(F.btrim(v, F.lit('"'))))
+    ).select(F.col("_metadata.file_path").alias("file"), "line")
+    plain = F.split("line", ",")
+    quoted = F.transform(F.split("line", COMMA_OUTSIDE_QUOTES), lambda v: F.btrim(v, F.lit('"')))
+    parts = F.transform(F.when(F.col("line").contains('"'), quoted).otherwise(plain), lambda v: F.trim(v))
     cells = lines.withColumn("cells", parts).withColumn(
         "is_header", F.array_contains("cells", "HomeTeam") & F.array_contains("cells", "Date")
     )

@@ -1,5 +1,6 @@
 """Match-domain views over the generic star-schema tables.
 
+Prime denominators in the odds keep derived probabilities off decimal rounding ties.
 ``Tables`` gives each view as a DataFrame; ``VIEW_SQL`` holds the same text for the SQL side.
 """
 
@@ -32,7 +33,7 @@ SELECT o_orderkey AS match_id, CAST(o_orderdate AS DATE) AS date, lg AS league,
   CASE WHEN o_orderkey % 17 <> 0 AND o_orderstatus <> 'P' THEN 0.7e0 * (CAST(floor(p / 7.0e0) AS BIGINT) % 3) + (o_orderkey % 11) / 20.0e0 END AS xg_away,
   ((o_orderkey % 9) - 4) / 4.0e0 AS ah_line
 FROM (SELECT *, (h + 1 + o_orderkey % 19) % 20 AS a,
-        0.30e0 + 0.25e0 * (o_orderkey % 97) / 96.0e0 AS ph, 0.22e0 + 0.06e0 * (o_orderkey % 31) / 30.0e0 AS pd,
+        0.30e0 + 0.25e0 * (o_orderkey % 97) / 97.0e0 AS ph, 0.22e0 + 0.06e0 * (o_orderkey % 31) / 31.0e0 AS pd,
         1.02e0 + 0.01e0 * (o_orderkey % 7) AS mg
       FROM (SELECT *, CASE o_custkey % 3 WHEN 0 THEN 'E0' WHEN 1 THEN 'SP1' ELSE 'F1' END AS lg,
               CAST(floor(o_custkey / 3.0e0) AS BIGINT) % 20 AS h, CAST(floor(o_totalprice) AS BIGINT) AS p FROM {orders}) o1) o2
