@@ -15,7 +15,7 @@ from ..functions.outcomes import outcome_index
 from ..session import checked_broadcast
 from .baselines import market_frequencies, outcome_frequencies, with_week
 from .joins import expected_goals, with_strengths
-from .strengths import SETTING, fit_all, settings_frame, target_folds
+from .strengths import SETTING, Setting, fit_all, grid_settings, target_folds
 
 BY = ["league", "week"]
 
@@ -35,7 +35,7 @@ def predict(fixtures: DataFrame, strengths: DataFrame, by: Sequence[str] = (*BY,
     return rates.drop(*drop).withColumn("model", probs)
 
 
-def walk_forward(played: DataFrame, seasons: Sequence, settings: DataFrame) -> DataFrame:
+def walk_forward(played: DataFrame, seasons: Sequence, settings: Sequence[Setting]) -> DataFrame:
     """Weekly refit on everything before each Monday; one row per target match and setting."""
     strengths = fit_all(played, target_folds(played, seasons), settings)
     target = with_week(played.filter(F.col("season").isin(list(seasons))))
@@ -48,7 +48,7 @@ def score_season_set(
     temperature: float | None = None,
 ) -> DataFrame:
     """Frozen settings over the test seasons: model (calibrated), raw, market and frequency triples."""
-    preds = walk_forward(played, seasons, settings_frame(played.sparkSession, [xi], [w], [kappa]))
+    preds = walk_forward(played, seasons, grid_settings([xi], [w], [kappa]))
     freq = checked_broadcast(outcome_frequencies(played))
     odds = F.array("odds_h", "odds_d", "odds_a")
     raw = F.col("model")
@@ -117,7 +117,7 @@ def derived_season_set(
     played: DataFrame, seasons: Sequence, xi: float, w: float, kappa: float,
     temperatures: dict[str, float] | None = None,
 ) -> DataFrame:
-    preds = walk_forward(played, seasons, settings_frame(played.sparkSession, [xi], [w], [kappa]))
+    preds = walk_forward(played, seasons, grid_settings([xi], [w], [kappa]))
     return derived_rows(preds, market_frequencies(played), temperatures)
 
 
@@ -199,7 +199,7 @@ def score_fixtures(
     """
     dated = with_week(fixtures)
     folds = dated.select("league", "week").distinct()
-    settings = settings_frame(played.sparkSession, [xi], [w], [kappa])
+    settings = grid_settings([xi], [w], [kappa])
     strengths = checked_broadcast(fit_all(played, folds, settings))
     rates = expected_goals(with_strengths(dated, strengths, BY))
     if lineups is not None:

@@ -11,15 +11,17 @@ Spark spreads them by key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import KAPPA_DEFAULT, RHO_BOUND, TAU_FLOOR
 from ..functions.calendar import monday
+from ..session import spread
 from .baselines import with_week
 
 ANCHOR = "2000-01-03"  # any fixed Monday: decay factors are relative to it
@@ -35,10 +37,24 @@ STRENGTH_SCHEMA = (
 )
 
 
-def settings_frame(spark, xi: Sequence[float], w: Sequence[float] = (0.0,), kappa: Sequence[float] = (KAPPA_DEFAULT,)) -> DataFrame:
-    """All combinations as a small table, in grid order (``cell``)."""
-    rows = [(i, float(x), float(y), float(k)) for i, (y, x, k) in enumerate((y, x, k) for y in w for x in xi for k in kappa)]
-    return spark.createDataFrame(rows, "cell int, xi double, w double, kappa double")
+class Setting(NamedTuple):
+    """One point of the hyper-parameter grid; ``cell`` is its place in grid order."""
+
+    cell: int
+    xi: float
+    w: float
+    kappa: float
+
+
+def grid_settings(
+    xi: Sequence[float], w: Sequence[float] = (0.0,), kappa: Sequence[float] = (KAPPA_DEFAULT,)
+) -> list[Setting]:
+    points = [(x, y, k) for y in w for x in xi for k in kappa]
+    return [Setting(i, float(x), float(y), float(k)) for i, (x, y, k) in enumerate(points)]
+
+
+def settings_frame(spark: SparkSession, settings: Sequence[Setting]) -> DataFrame:
+    return spark.createDataFrame([tuple(s) for s in settings], "cell int, xi double, w double, kappa double")
 
 
 def target_folds(played: DataFrame, seasons: Sequence) -> DataFrame:
@@ -74,18 +90,18 @@ def guard_before(df: DataFrame, day: str, reference: str) -> DataFrame:
     return df.withColumn(day, F.when(ok, F.col(day)).otherwise(F.raise_error(message).cast("date")))
 
 
-def fold_sums(played: DataFrame, folds: DataFrame, xis: DataFrame) -> DataFrame:
+def fold_sums(played: DataFrame, folds: DataFrame, xis: Sequence[float]) -> DataFrame:
     """(league, week, xi, home, away) + decayed sums over all days before the fold's Monday.
 
     Running sums replace the fold x match range join: daily sums meet the fold marks on one time
-    axis per pairing, and the mark reads what came before it. ``xis``: one row per xi.
+    axis per pairing, and the mark reads what came before it.
     """
     days = pairing_days(played)
     anchor = F.lit(ANCHOR).cast("date")
     grow = F.exp(F.col("xi") * F.datediff("week", anchor))
     # within a week all days share the exact weight of their own day, relative to the anchor
     weekly = (
-        days.join(F.broadcast(xis.select("xi").distinct()))
+        days.withColumn("xi", F.explode(F.array(*[F.lit(float(x)) for x in xis])))
         .withColumn("week", monday(F.col("date")))
         .groupBy("league", "xi", "home", "away", "week")
         .agg(*[F.sum(F.col(s) * F.exp(F.col("xi") * F.datediff("date", anchor))).alias(s) for s in SUMS])
@@ -117,7 +133,7 @@ def _low_score_terms(lam_h, lam_a, rho):
     }
 
 
-def fit_pairings(pdf: pd.DataFrame, kappa: float, tolerance: float = 1e-9, max_steps: int = 200):
+def fit_pairings(pdf: pd.DataFrame, kappa: float, tolerance: float = 1e-8, max_steps: int = 200):
     """Penalised weighted Poisson fit with the low-score term, by scoring steps.
 
     The step solves the Poisson information plus ridge for attacks, defences and home edge, and a
@@ -167,27 +183,38 @@ def fit_pairings(pdf: pd.DataFrame, kappa: float, tolerance: float = 1e-9, max_s
     return teams, att - shift, dfc + shift, edge, rho, steps, float(gradient)
 
 
-def _fit_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    league, week, xi, w, kappa = key
-    teams, att, dfc, edge, rho, steps, gradient = fit_pairings(pdf, kappa)
-    return pd.DataFrame({
-        "league": league, "week": week, "xi": xi, "w": w, "kappa": kappa, "team": teams, "attack": att,
-        "defence": dfc, "home_edge": edge, "rho": rho, "attack_mean": np.log(np.mean(np.exp(att))),
-        "defence_mean": np.log(np.mean(np.exp(dfc))), "steps": steps, "max_gradient": gradient,
-        "n_train": pdf["n"].sum(), "n_teams": len(teams),
-    })
-
-
-def fit_folds(sums: DataFrame, settings: DataFrame) -> DataFrame:
-    """Strengths per (league, week, xi, w, kappa, team) from ``fold_sums`` and the settings table."""
-    mixed = sums.join(F.broadcast(settings.select(*SETTING)), "xi").select(
-        *FIT_KEYS, "home", "away", "n",
-        ((1.0 - F.col("w")) * F.col("gh") + F.col("w") * F.col("xh")).alias("yh"),
-        ((1.0 - F.col("w")) * F.col("ga") + F.col("w") * F.col("xa")).alias("ya"),
-        *[f"c{s}" for s in LOW_SCORES],
-    )
-    return mixed.groupBy(*FIT_KEYS).applyInPandas(_fit_group, STRENGTH_SCHEMA)
+def _fitter(settings: Sequence[Setting]):
+    """Task function: every setting of one (league, week, xi), on that fold's pairing sums."""
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        league, week, xi = key
+        out = []
+        for s in settings:
+            if s.xi != xi:
+                continue
+            target = pdf.assign(
+                yh=(1.0 - s.w) * pdf["gh"] + s.w * pdf["xh"], ya=(1.0 - s.w) * pdf["ga"] + s.w * pdf["xa"]
+            )
+            teams, att, dfc, edge, rho, steps, gradient = fit_pairings(target, s.kappa)
+            out.append(pd.DataFrame({
+                "league": league, "week": week, "xi": xi, "w": s.w, "kappa": s.kappa, "team": teams, "attack": att,
+                "defence": dfc, "home_edge": edge, "rho": rho, "attack_mean": np.log(np.mean(np.exp(att))),
+                "defence_mean": np.log(np.mean(np.exp(dfc))), "steps": steps, "max_gradient": gradient,
+                "n_train": pdf["n"].sum(), "n_teams": len(teams),
+            }))
+        return pd.concat(out, ignore_index=True)
+
+    return fit
+
+
+def fit_folds(sums: DataFrame, settings: Sequence[Setting]) -> DataFrame:
+    """Strengths per (league, week, xi, w, kappa, team) from ``fold_sums``.
+
+    A task receives one fold: at most one row per ordered pair of its league's teams.
+    """
+    keys = ("league", "week", "xi")
+    return spread(sums, *keys).groupBy(*keys).applyInPandas(_fitter(list(settings)), STRENGTH_SCHEMA)
 
 
-def fit_all(played: DataFrame, folds: DataFrame, settings: DataFrame) -> DataFrame:
-    return fit_folds(fold_sums(played, folds, settings.select("xi").distinct()), settings)
+def fit_all(played: DataFrame, folds: DataFrame, settings: Sequence[Setting]) -> DataFrame:
+    return fit_folds(fold_sums(played, folds, sorted({s.xi for s in settings})), settings)

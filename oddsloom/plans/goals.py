@@ -63,8 +63,7 @@ FROM weeks w JOIN matches_v m ON m.league = w.league AND m.fthg IS NOT NULL AND
 """)
 def fold_training_sums(t: Tables) -> DataFrame:
     """Decayed training sums of every weekly fold, strictly before its Monday."""
-    xis = S.settings_frame(t.spark, [XI])
-    sums = S.fold_sums(t.played, S.target_folds(t.played, TEST), xis)
+    sums = S.fold_sums(t.played, S.target_folds(t.played, TEST), [XI])
     return rounded(
         sums.groupBy("league", "week", "home").agg(*[F.sum(c).alias(c) for c in ("n", "gh", "xa", "c01")]), "n", "gh", "xa", "c01"
     )
@@ -283,7 +282,7 @@ def lineup_adjustment(t: Tables) -> DataFrame:
 @query("strength_fit")
 def strength_fit(t: Tables) -> DataFrame:
     """Strengths of every test-season fold, with convergence figures."""
-    out = S.fit_all(t.played, S.target_folds(t.played, TEST), S.settings_frame(t.spark, [XI], [W_MIX], [KAPPA]))
+    out = S.fit_all(t.played, S.target_folds(t.played, TEST), S.grid_settings([XI], [W_MIX], [KAPPA]))
     return rounded(out, "attack", "defence", "home_edge", "rho", "attack_mean", "defence_mean", "n_train").withColumn(
         "converged", F.col("max_gradient") < 1e-6
     ).drop("max_gradient", "steps")

@@ -69,3 +69,14 @@ def checked_broadcast(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate files, inside the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` over all cores ahead of Python work.
+
+    The rows are few bytes but much computation, so the size-based coalescing of small shuffles
+    would leave most cores idle; an explicit partition count is kept as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(max(cores * 3, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
