@@ -5,7 +5,7 @@ training rows only through decayed sums per (home, away) pairing, and exp(-xi *
 time. So rows collapse once per (league, day, pairing) with a map-side combine, running sums carry
 the pairings through the calendar, and each fold's fit works on one row per pairing: its size is
 bounded by the square of the team list, whatever the number of matches. Fits are independent and
-Spark spreads them by key.
+Spark spreads them by key; numpy solves a year of folds in one batch.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from .baselines import with_week
 
 ANCHOR = "2000-01-03"  # any fixed Monday: decay factors are relative to it
 LOW_SCORES = ("00", "01", "10", "11")
+BATCH_CELLS = 100_000  # matrix cells solved together
 SUMS = ("n", "gh", "ga", "xh", "xa", *[f"c{s}" for s in LOW_SCORES])
 SETTING = ("xi", "w", "kappa")
 FIT_KEYS = ("league", "week", *SETTING)
@@ -123,8 +124,7 @@ def fold_sums(played: DataFrame, folds: DataFrame, xis: Sequence[float]) -> Data
 
 def _low_score_terms(lam_h, lam_a, rho):
     """Per low score: (tau, d tau / d lam_h, d tau / d lam_a, d tau / d rho)."""
-    zero = np.zeros_like(lam_h)
-    one = np.ones_like(lam_h)
+    zero, one = np.zeros_like(lam_h), np.ones_like(lam_h)
     return {
         "00": (1 - lam_h * lam_a * rho, -lam_a * rho, -lam_h * rho, -lam_h * lam_a),
         "01": (1 + lam_h * rho, rho * one, zero, lam_h),
@@ -133,76 +133,107 @@ def _low_score_terms(lam_h, lam_a, rho):
     }
 
 
-def fit_pairings(pdf: pd.DataFrame, kappa: float, tolerance: float = 1e-8, max_steps: int = 200):
-    """Penalised weighted Poisson fit with the low-score term, by scoring steps.
+class Fits(NamedTuple):
+    """Fitted parameters of f problems over m teams; attacks of the present teams average one."""
 
-    The step solves the Poisson information plus ridge for attacks, defences and home edge, and a
-    scalar step moves rho inside its bounds. Returns (teams, attack, defence, edge, rho, steps,
-    largest gradient entry); attacks average one.
+    attack: np.ndarray
+    defence: np.ndarray
+    edge: np.ndarray
+    rho: np.ndarray
+    gradient: np.ndarray
+    steps: int
+
+
+def fit_batch(
+    weight: np.ndarray, yh: np.ndarray, ya: np.ndarray, low: dict[str, np.ndarray], kappa: np.ndarray,
+    tolerance: float = 1e-8, max_steps: int = 200,
+) -> Fits:
+    """Penalised weighted Poisson fits with the low-score term, many at once.
+
+    Inputs have shape (f, m, m), indexed [fit, home, away]; ``kappa`` has shape (f,). Each step
+    solves the Poisson information plus ridge for attacks, defences and home edge, then moves rho
+    by a scalar step inside its bounds. A team without rows keeps zero strengths.
     """
-    teams, index = np.unique(np.concatenate([pdf["home"].to_numpy(), pdf["away"].to_numpy()]), return_inverse=True)
-    m, k = len(teams), len(pdf)
-    h, a = index[:k], index[k:]
-    weight, yh, ya = (pdf[c].to_numpy(float) for c in ("n", "yh", "ya"))
-    low = {s: pdf[f"c{s}"].to_numpy(float) for s in LOW_SCORES}
-    att, dfc, edge, rho = np.zeros(m), np.zeros(m), 0.0, 0.0
-    gradient, steps = np.inf, 0
-    add = lambda at, v: np.bincount(at, weights=v, minlength=m)
+    f, m, _ = weight.shape
+    att, dfc = np.zeros((f, m)), np.zeros((f, m))
+    edge, rho, ridge = np.zeros(f), np.zeros(f), 2.0 * kappa[:, None]
+    i = np.arange(m)
+    gradient, steps = np.full(f, np.inf), 0
     for steps in range(1, max_steps + 1):
-        lam_h, lam_a = np.exp(att[h] + dfc[a] + edge), np.exp(att[a] + dfc[h])
-        gh, ga = yh - weight * lam_h, ya - weight * lam_a
-        g_rho = i_rho = 0.0
-        for s, (tau, by_h, by_a, by_rho) in _low_score_terms(lam_h, lam_a, rho).items():
-            share = low[s] / np.maximum(tau, TAU_FLOOR)
+        lam_h = np.exp(att[:, :, None] + dfc[:, None, :] + edge[:, None, None])
+        lam_a = np.exp(att[:, None, :] + dfc[:, :, None])
+        wh, wa = weight * lam_h, weight * lam_a
+        gh, ga = yh - wh, ya - wa
+        g_rho, i_rho = np.zeros(f), np.zeros(f)
+        for s, (tau, by_h, by_a, by_rho) in _low_score_terms(lam_h, lam_a, rho[:, None, None]).items():
+            tau = np.maximum(tau, TAU_FLOOR)
+            share = low[s] / tau
             gh, ga = gh + lam_h * share * by_h, ga + lam_a * share * by_a
-            g_rho += (share * by_rho).sum()
-            i_rho += (share * by_rho**2 / np.maximum(tau, TAU_FLOOR)).sum()
+            g_rho += (share * by_rho).sum((1, 2))
+            i_rho += (share * by_rho**2 / tau).sum((1, 2))
         g = np.concatenate([
-            add(h, gh) + add(a, ga) - 2 * kappa * att, add(a, gh) + add(h, ga) - 2 * kappa * dfc, [gh.sum()]
-        ])
-        held = (rho <= -RHO_BOUND and g_rho < 0) or (rho >= RHO_BOUND and g_rho > 0)
-        gradient = max(np.abs(g).max(), 0.0 if held else abs(g_rho))
-        if gradient < tolerance:
+            gh.sum(2) + ga.sum(1) - ridge * att, gh.sum(1) + ga.sum(2) - ridge * dfc, gh.sum((1, 2))[:, None]
+        ], axis=1)
+        held = ((rho <= -RHO_BOUND) & (g_rho < 0)) | ((rho >= RHO_BOUND) & (g_rho > 0))
+        gradient = np.maximum(np.abs(g).max(1), np.where(held, 0.0, np.abs(g_rho)))
+        if (gradient < tolerance).all():
             break
-        wh, wa = weight * lam_h, weight * lam_a
-        info = np.zeros((2 * m + 1, 2 * m + 1))
-        diag = np.arange(m)
-        info[diag, diag] = add(h, wh) + add(a, wa) + 2 * kappa
-        info[m + diag, m + diag] = add(a, wh) + add(h, wa) + 2 * kappa
-        np.add.at(info, (h, m + a), wh)
-        np.add.at(info, (a, m + h), wa)
-        info[:m, 2 * m], info[m : 2 * m, 2 * m] = add(h, wh), add(a, wh)
-        info[2 * m, 2 * m] = wh.sum() + 1e-12
-        upper = np.triu(info, 1)
-        move = np.linalg.solve(np.diag(np.diag(info)) + upper + upper.T, g)
-        move *= min(1.0, 2.0 / max(np.abs(move).max(), 1e-300))
-        att, dfc, edge = att + move[:m], dfc + move[m : 2 * m], edge + move[2 * m]
-        if i_rho > 0:
-            rho = float(np.clip(rho + g_rho / i_rho, -RHO_BOUND, RHO_BOUND))
-    shift = np.log(np.mean(np.exp(att)))
-    return teams, att - shift, dfc + shift, edge, rho, steps, float(gradient)
+        info = np.zeros((f, 2 * m + 1, 2 * m + 1))
+        info[:, i, i] = wh.sum(2) + wa.sum(1) + ridge
+        info[:, m + i, m + i] = wh.sum(1) + wa.sum(2) + ridge
+        cross = wh + wa.transpose(0, 2, 1)
+        info[:, :m, m : 2 * m], info[:, m : 2 * m, :m] = cross, cross.transpose(0, 2, 1)
+        at_edge = np.concatenate([wh.sum(2), wh.sum(1)], axis=1)
+        info[:, : 2 * m, 2 * m] = info[:, 2 * m, : 2 * m] = at_edge
+        info[:, 2 * m, 2 * m] = wh.sum((1, 2)) + 1e-12
+        move = np.linalg.solve(info, g[:, :, None])[:, :, 0]
+        move *= np.minimum(1.0, 2.0 / np.maximum(np.abs(move).max(1), 1e-300))[:, None]
+        att, dfc, edge = att + move[:, :m], dfc + move[:, m : 2 * m], edge + move[:, 2 * m]
+        rho = np.clip(rho + np.divide(g_rho, i_rho, out=np.zeros(f), where=i_rho > 0), -RHO_BOUND, RHO_BOUND)
+    present = (weight.sum(2) + weight.sum(1)) > 0
+    shift = np.log((np.exp(att) * present).sum(1) / np.maximum(present.sum(1), 1))[:, None]
+    return Fits(att - shift, dfc + shift, edge, rho, gradient, steps)
 
 
 def _fitter(settings: Sequence[Setting]):
-    """Task function: every setting of one (league, week, xi), on that fold's pairing sums."""
+    """Task function: every fold of one (league, year, xi) and every setting of that xi."""
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        league, week, xi = key
-        out = []
-        for s in settings:
-            if s.xi != xi:
-                continue
-            target = pdf.assign(
-                yh=(1.0 - s.w) * pdf["gh"] + s.w * pdf["xh"], ya=(1.0 - s.w) * pdf["ga"] + s.w * pdf["xa"]
-            )
-            teams, att, dfc, edge, rho, steps, gradient = fit_pairings(target, s.kappa)
-            out.append(pd.DataFrame({
-                "league": league, "week": week, "xi": xi, "w": s.w, "kappa": s.kappa, "team": teams, "attack": att,
-                "defence": dfc, "home_edge": edge, "rho": rho, "attack_mean": np.log(np.mean(np.exp(att))),
-                "defence_mean": np.log(np.mean(np.exp(dfc))), "steps": steps, "max_gradient": gradient,
-                "n_train": pdf["n"].sum(), "n_teams": len(teams),
-            }))
-        return pd.concat(out, ignore_index=True)
+        league, _, xi = key
+        chosen = [s for s in settings if s.xi == xi]
+        weeks, at = np.unique(pdf["week"].to_numpy(), return_inverse=True)
+        k = len(pdf)
+        teams, ix = np.unique(np.concatenate([pdf["home"].to_numpy(), pdf["away"].to_numpy()]), return_inverse=True)
+        m, h, a = len(teams), ix[:k], ix[k:]
+
+        def dense(col: str, first: int, last: int) -> np.ndarray:
+            out = np.zeros((last - first, m, m))
+            rows = (at >= first) & (at < last)
+            out[at[rows] - first, h[rows], a[rows]] = pdf[col].to_numpy(float)[rows]
+            return out
+
+        parts = []
+        chunk = max(1, int(BATCH_CELLS / (m * m)))  # bounds the memory of a batch
+        for first in range(0, len(weeks), chunk):
+            last = min(first + chunk, len(weeks))
+            sums = {c: dense(c, first, last) for c in SUMS}
+            low = {s: sums[f"c{s}"] for s in LOW_SCORES}
+            present = (sums["n"].sum(2) + sums["n"].sum(1)) > 0
+            which, who = np.nonzero(present)
+            for s in chosen:
+                fits = fit_batch(
+                    sums["n"], (1 - s.w) * sums["gh"] + s.w * sums["xh"], (1 - s.w) * sums["ga"] + s.w * sums["xa"],
+                    low, np.full(last - first, s.kappa),
+                )
+                mean = lambda v: np.log((np.exp(v) * present).sum(1) / present.sum(1))[which]
+                parts.append(pd.DataFrame({
+                    "league": league, "week": weeks[first:last][which], "xi": xi, "w": s.w, "kappa": s.kappa,
+                    "team": teams[who], "attack": fits.attack[which, who], "defence": fits.defence[which, who],
+                    "home_edge": fits.edge[which], "rho": fits.rho[which], "attack_mean": mean(fits.attack),
+                    "defence_mean": mean(fits.defence), "steps": fits.steps, "max_gradient": fits.gradient[which],
+                    "n_train": sums["n"].sum((1, 2))[which], "n_teams": present.sum(1)[which],
+                }))
+        return pd.concat(parts, ignore_index=True)
 
     return fit
 
@@ -210,10 +241,12 @@ def _fitter(settings: Sequence[Setting]):
 def fit_folds(sums: DataFrame, settings: Sequence[Setting]) -> DataFrame:
     """Strengths per (league, week, xi, w, kappa, team) from ``fold_sums``.
 
-    A task receives one fold: at most one row per ordered pair of its league's teams.
+    A task receives a year of folds of one league and decay rate: at most 53 rows per ordered pair
+    of teams, however many matches were played.
     """
-    keys = ("league", "week", "xi")
-    return spread(sums, *keys).groupBy(*keys).applyInPandas(_fitter(list(settings)), STRENGTH_SCHEMA)
+    keys = ("league", "year", "xi")
+    yearly = sums.withColumn("year", F.year("week"))
+    return spread(yearly, *keys).groupBy(*keys).applyInPandas(_fitter(list(settings)), STRENGTH_SCHEMA)
 
 
 def fit_all(played: DataFrame, folds: DataFrame, settings: Sequence[Setting]) -> DataFrame:

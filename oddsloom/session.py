@@ -80,3 +80,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(max(cores * 3, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def at_least_parallel(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when its files give fewer splits than that.
+
+    One small file is a single split, and everything computed per row would run on one core. A scan
+    with enough splits, the normal case on a cluster, comes back unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
