@@ -122,13 +122,13 @@ def freshness_table(entries: DataFrame, id_col: str, resamples: int = K.RESAMPLE
     minimum size, or with too few quoted rows, give no gap.
     """
     rows = entries.select(
-        id_col, freshness_bucket(F.col("odds_age_days")).alias("bucket"), brier(F.col("probs"), F.col("outcome")).alias("b"),
-        F.when(F.col("market").isNotNull(), brier(F.col("market"), F.col("outcome"))).alias("bm"),
+        id_col, freshness_bucket(F.col("odds_age_days")).alias("bucket"), brier(F.col("probs"), F.col("outcome")).alias("score"),
+        F.when(F.col("market").isNotNull(), brier(F.col("market"), F.col("outcome"))).alias("reference"),
     )
-    paired = rows.filter("bm IS NOT NULL")
-    ci = R.paired_gap_interval(paired, "b", "bm", id_col, ["bucket"], resamples=resamples).select("bucket", "lo", "hi")
+    paired = rows.filter("reference IS NOT NULL")
+    ci = R.paired_gap_interval(paired, "score", "reference", id_col, ["bucket"], resamples=resamples).select("bucket", "lo", "hi")
     table = rows.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.avg("b").alias("brier"), F.avg("bm").alias("brier_market"), F.count("bm").alias("n_market")
+        F.count("*").alias("n"), F.avg("score").alias("brier"), F.avg("reference").alias("brier_market"), F.count("reference").alias("n_market")
     ).join(ci, "bucket", "left")
     usable = (F.col("n") >= K.BUCKET_MIN_N) & (F.col("n_market") >= K.BUCKET_MIN_N)
     gap = F.try_divide((F.col("brier") - F.col("brier_market")) * 100.0, F.col("brier_market"))
@@ -140,10 +140,10 @@ def freshness_table(entries: DataFrame, id_col: str, resamples: int = K.RESAMPLE
 def stale_alert(entries: DataFrame, id_col: str, resamples: int = K.RESAMPLES) -> DataFrame:
     """Stale minus fresh gap: an alert needs more than three points and an interval without 0."""
     rows = entries.filter("market IS NOT NULL").select(
-        id_col, freshness_bucket(F.col("odds_age_days")).alias("bucket"), brier(F.col("probs"), F.col("outcome")).alias("b"),
-        brier(F.col("market"), F.col("outcome")).alias("bm"),
+        id_col, freshness_bucket(F.col("odds_age_days")).alias("bucket"), brier(F.col("probs"), F.col("outcome")).alias("score"),
+        brier(F.col("market"), F.col("outcome")).alias("reference"),
     )
-    ci = R.gap_difference_interval(rows.filter("bucket = 'stale'"), rows.filter("bucket = 'fresh'"), "b", "bm", id_col, resamples=resamples)
+    ci = R.gap_difference_interval(rows.filter("bucket = 'stale'"), rows.filter("bucket = 'fresh'"), "score", "reference", id_col, resamples=resamples)
     alert = (F.col("point") > K.STALE_ALERT_PTS) & F.coalesce("excludes_zero", F.lit(False))
     return ci.withColumn("alert", F.when(F.col("point").isNotNull(), alert))
 
