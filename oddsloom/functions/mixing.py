@@ -41,6 +41,13 @@ def mix(seed: int, *keys: Column) -> Column:
     return x
 
 
+def absorb(state: Column, key: Column) -> Column:
+    """One round: fold ``key`` into a state column. ``mix(seed, a, b)`` is two rounds; keeping the
+    first as a column of its own keeps the expression small."""
+    low = key.cast("long").bitwiseAND(F.lit(MASK))
+    return _finalise((state + low).bitwiseAND(F.lit(MASK)))
+
+
 def mix_sql(seed: int, *keys: str) -> str:
     """SQL text of the same value."""
     def finalise(x: str) -> str:

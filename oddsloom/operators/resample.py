@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CONFIDENCE, PERMUTATIONS, RESAMPLES, SEED
-from ..functions.mixing import mix
-from ..session import broadcast_if_small
+from ..functions.mixing import absorb, mix
+from ..session import broadcast_if_small, keep
 from .windows import rank_within
 
 SLICE_BITS = 20  # 32-bit hashes fall into 4096 equal slices
@@ -36,10 +36,12 @@ def replicate_means(
     resamples: int = RESAMPLES,
 ) -> DataFrame:
     """keys + b + the mean of every column over replicate b; all columns share the drawn rows."""
-    base = indexed(df.select(id_col, *keys, *cols), id_col, keys).persist()
+    base = keep(indexed(df.select(id_col, *keys, *cols), id_col, keys))
     draws = base.select(
         *keys, "n", "pos", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")
-    ).select(*keys, "b", F.shiftright(mix(seed, F.col("b"), F.col("pos")) * F.col("n"), 32).alias("pos"))
+    ).withColumn("_s", mix(seed, F.col("b"))).withColumn("_h", absorb(F.col("_s"), F.col("pos"))).select(
+        *keys, "b", F.shiftright(F.col("_h") * F.col("n"), 32).alias("pos")
+    )
     values = broadcast_if_small(base.select(*keys, "pos", *cols))
     return draws.join(values, [*keys, "pos"]).groupBy(*keys, "b").agg(*[F.avg(c).alias(c) for c in cols])
 
@@ -74,7 +76,7 @@ def mean_interval(
     confidence: float = CONFIDENCE,
 ) -> DataFrame:
     """Percentile interval of a mean per group: n, point, lo, hi, excludes_zero."""
-    rows = df.filter(F.col(col).isNotNull())
+    rows = keep(df.filter(F.col(col).isNotNull()).select(id_col, *keys, col))
     points = _agg(rows, keys, F.count("*").alias("n"), F.avg(col).alias("point"))
     draws = replicate_means(rows, [col], id_col, keys, seed, resamples).withColumnRenamed(col, "value")
     return _finish(points, draws, keys, confidence)
@@ -98,7 +100,7 @@ def paired_gap_interval(
     """
     uneven = F.col(score).isNull() != F.col(reference).isNull()
     checked = df.withColumn(score, F.when(uneven, F.raise_error(F.lit("series are not paired")).cast("double")).otherwise(F.col(score)))
-    rows = checked.filter(F.col(score).isNotNull())
+    rows = keep(checked.filter(F.col(score).isNotNull()).select(id_col, *keys, score, reference))
     points = _agg(rows, keys, F.count("*").alias("n"), _gap_pct(F.avg(score), F.avg(reference)).alias("point"))
     draws = replicate_means(rows, [score, reference], id_col, keys, seed, resamples)
     value = draws.select(*keys, "b", _gap_pct(F.col(score), F.col(reference)).alias("value"))
@@ -118,7 +120,7 @@ def difference_interval(
     confidence: float = CONFIDENCE,
 ) -> DataFrame:
     """mean(a) - mean(b) of two disjoint groups, drawn independently; ``n`` is the smaller group."""
-    a, b = a.filter(F.col(col).isNotNull()), b.filter(F.col(col).isNotNull())
+    a, b = (keep(g.filter(F.col(col).isNotNull()).select(id_col, col)) for g in (a, b))
     pa = a.agg(F.count("*").alias("n_a"), F.avg(col).alias("m_a"))
     pb = b.agg(F.count("*").alias("n_b"), F.avg(col).alias("m_b"))
     points = pa.join(pb).select(F.least("n_a", "n_b").alias("n"), (F.col("m_a") - F.col("m_b")).alias("point"))
@@ -134,6 +136,7 @@ def gap_difference_interval(
     def one(df: DataFrame, tag: str) -> DataFrame:
         return df.agg(F.count("*").alias(f"n{tag}"), _gap_pct(F.avg(score), F.avg(reference)).alias(f"g{tag}"))
 
+    a, b = (keep(g.select(id_col, score, reference)) for g in (a, b))
     both = one(a, "_a").join(one(b, "_b"))
     usable = F.least("n_a", "n_b") >= 2
     points = both.select(
@@ -162,9 +165,9 @@ def permutation_lift(
     ``bets``: id, edge, movement, roi. Movements are permuted across bets; edges and results stay.
     Permutations that select nothing are dropped.
     """
-    base = indexed(bets.select(id_col, "edge", "movement", "roi"), id_col).persist()
+    base = keep(indexed(keep(bets.select(id_col, "edge", "movement", "roi")), id_col))
     spread = base.select("pos", "edge", "roi", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("b"))
-    hashed = spread.withColumn("_h", mix(seed, F.col("b"), F.col("pos")))
+    hashed = spread.withColumn("_s", mix(seed, F.col("b"))).withColumn("_h", absorb(F.col("_s"), F.col("pos"))).drop("_s")
     ranked = rank_within(hashed, ["b"], ["_h", "pos"], F.shiftright("_h", SLICE_BITS), "_to")
     source = broadcast_if_small(base.select((F.col("pos") + 1).alias("_to"), "movement"))
     kept = ranked.join(source, "_to").filter(F.col("edge") + weight * F.col("movement") > threshold)

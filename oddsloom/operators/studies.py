@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import odds as O
 from ..functions.outcomes import brier, log_loss, total_variation
+from ..session import keep
 from . import resample as R
 from . import tuning as U
 from .metrics import calibration_pairs, longshot_bias
@@ -21,7 +22,8 @@ def margin_methods(rows: DataFrame, keys: Sequence[str], resamples: int = K.RESA
     ``rows``: match_id, outcome, odds (quoted triple) and the key columns.
     """
     methods = tuple(O.FAIR_METHODS)
-    fair = rows.select("match_id", "outcome", *keys, *[O.fair(F.col("odds"), m).alias(m) for m in methods]).persist()
+    fair = rows.select("match_id", "outcome", *keys, *[O.fair(F.col("odds"), m).alias(m) for m in methods])
+    fair = keep(fair)
     packed = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("probs"), F.col("power").alias("_base")) for m in methods])
     long = fair.select("match_id", "outcome", *keys, F.inline(packed))
     p, o = F.col("probs"), F.col("outcome")
@@ -162,9 +164,10 @@ def disagreement_rows(rows: DataFrame) -> DataFrame:
 def disagreement_study(rows: DataFrame, resamples: int = K.RESAMPLES) -> DataFrame:
     """High against low disagreement: Brier over all matches, ROI over value bets."""
     bucket = F.floor(F.col("distance") * 65536)
+    rows = keep(rows)
 
     def angle(df: DataFrame, name: str, col: str) -> DataFrame:
-        split = R.median_split(df, "distance", "match_id", bucket).persist()
+        split = keep(R.median_split(df, "distance", "match_id", bucket))
         sizes = split.agg(
             F.count_if(F.col("half") == "low").alias("n_low"), F.count_if(F.col("half") == "high").alias("n_high"),
             F.avg(F.when(F.col("half") == "low", F.col(col))).alias("mean_low"), F.avg(F.when(F.col("half") == "high", F.col(col))).alias("mean_high"),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import release_kept
 from ..views import Tables, with_views
 
 FAMILIES = (
@@ -24,6 +25,7 @@ def query(name: str, oracle: str | None = None):
     def wrap(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            release_kept()  # caches of the query before
             return fn(Tables(spark, folder))
 
         if name in _QUERIES:

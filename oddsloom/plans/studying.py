@@ -12,6 +12,7 @@ from ..operators import features as H
 from ..operators import studies as ST
 from ..operators import tuning as U
 from ..operators.baselines import with_frequency
+from ..session import keep
 from ..views import Tables
 from .featuring import with_stats
 from .pricing import FAIR_SQL
@@ -144,7 +145,8 @@ def composite_study(t: Tables) -> DataFrame:
     best = U.best_composite(grid.withColumn("roi", F.round("roi", 12))).first()  # one row: the frozen setting
     if best is None or best["w"] is None:
         raise ValueError("no grid cell selects enough validation bets")
-    bets = ST.taken_bets(study_rows(t, TEST)).select("match_id", "edge", "movement", "roi").persist()
+    bets = ST.taken_bets(study_rows(t, TEST)).select("match_id", "edge", "movement", "roi")
+    bets = keep(bets)
     out = ST.composite_run(bets, best["w"], best["threshold"], resamples=B, permutations=49)
     names = ["baseline_roi", "selected_roi", "p_value", "mean_lift", "p95_lift", "real_lift", "difference", "lo", "hi"]
     return rounded(out, *names).withColumns({"w": F.lit(best["w"]), "threshold": F.lit(best["threshold"])})

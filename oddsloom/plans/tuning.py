@@ -10,6 +10,7 @@ from ..functions import odds as O
 from ..functions.outcomes import outcome_index
 from ..operators import strengths as S
 from ..operators import tuning as U
+from ..session import keep
 from ..views import Tables
 from .registry import query
 from .resampling import BETS, movement_bets
@@ -76,7 +77,7 @@ def market_temperatures(t: Tables) -> DataFrame:
     packed = F.array(*[
         F.struct(F.lit(m).alias("market"), MK.market_prob(m, have).alias("raw_p"), MK.market_hit(m, F.col("fthg"), F.col("ftag")).alias("y")) for m in DERIVED_MARKETS
     ])
-    out = U.tune_binary_temperature(rows.select(F.inline(packed)).persist())
+    out = U.tune_binary_temperature(keep(rows.select(F.inline(packed))))
     return out.select("market", F.round("t", 3).alias("t"), F.round("loss", 6).alias("loss"), "n")
 
 

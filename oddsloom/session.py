@@ -56,14 +56,29 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     return df
 
 
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cache a frame that several branches of a plan read. Lost blocks are rebuilt from the plan."""
+    kept = df.persist()
+    _KEPT.append(kept)
+    return kept
+
+
+def release_kept() -> None:
+    """Drop the caches that ``keep`` made so far."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Keep ``df`` in memory, count it once, and broadcast it only when it stays small.
 
     Meant for tables that grow with the calendar or the team list (weeks, strengths, settings).
     Cached blocks are rebuilt from their plan when an executor goes away.
     """
-    kept = df.persist()
-    return broadcast_if_small(kept, max_rows)
+    return broadcast_if_small(keep(df), max_rows)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
