@@ -12,6 +12,7 @@ from ..constants import (
     CALIBRATION_MIN_N, CALIBRATION_TOLERANCE, CALIBRATION_WIDTH, CLEAR_MARGIN, LONGSHOT_BELOW,
 )
 from ..functions.outcomes import brier, correct, log_loss, ranked_score
+from ..session import keep
 
 
 def long_methods(df: DataFrame, methods: Mapping[str, Column], keep: Sequence[str]) -> DataFrame:
@@ -115,7 +116,7 @@ def macro_auc(df: DataFrame, probs: Column, outcome: Column, slices: int = 4096)
     two levels (inside a slice of [0, 1], and over slices), so no task sees more than a slice.
     """
     scored = df.select(outcome.alias("_o"), F.posexplode(probs).alias("klass", "score"))
-    values = (
+    values = keep(
         scored.withColumn("pos", F.when(F.col("klass") == F.col("_o"), 1).otherwise(0))
         .groupBy("klass", "score")
         .agg(F.count("*").alias("n"), F.sum("pos").alias("pos"))
