@@ -288,6 +288,30 @@ def strength_fit(t: Tables) -> DataFrame:
     ).drop("max_gradient", "steps")
 
 
+@query("strength_fit_checks", """
+WITH weeks AS (SELECT DISTINCT league, CAST(date_trunc('week', date) AS DATE) AS week FROM matches_v WHERE fthg IS NOT NULL AND season IN (1998, 1999, 2000)),
+r AS (SELECT w.league, w.week, unnest([m.home, m.away]) AS team, 0.5 * exp(-0.003 * date_diff('day', m.date, w.week)) AS half FROM weeks w JOIN matches_v m ON m.league = w.league AND m.fthg IS NOT NULL AND m.date < w.week)
+SELECT league, week, count(DISTINCT team) AS n_teams, round(sum(half), 5) AS n_train, 1.0 AS mean_attack, TRUE AS rho_in_bounds, TRUE AS converged FROM r GROUP BY league, week
+""")
+def strength_fit_checks(t: Tables) -> DataFrame:
+    """Every fold: teams and weight it trained on, attacks averaging one, zero gradient at the optimum."""
+    out = S.fit_all(t.played, S.target_folds(t.played, TEST), S.grid_settings([XI], [W_MIX], [KAPPA]))
+    return out.groupBy("league", "week").agg(
+        F.count("*").alias("n_teams"), F.round(F.max("n_train"), 5).alias("n_train"), F.round(F.avg(F.exp("attack")), 6).alias("mean_attack"),
+        F.bool_and(F.abs("rho") <= K.RHO_BOUND).alias("rho_in_bounds"), F.bool_and(F.col("max_gradient") < 1e-6).alias("converged"),
+    )
+
+
+@query("walk_forward_checks", """
+SELECT match_id, 1.0 AS total, TRUE AS positive FROM matches_v WHERE fthg IS NOT NULL AND season IN (1998, 1999, 2000)
+""")
+def walk_forward_checks(t: Tables) -> DataFrame:
+    """Every target match is forecast once, with three positive probabilities that sum to one."""
+    out = FC.walk_forward(t.played, TEST, S.grid_settings([XI], [W_MIX], [KAPPA]))
+    p = F.col("model")
+    return out.select("match_id", F.round(p[0] + p[1] + p[2], 6).alias("total"), (F.array_min(p) > 0).alias("positive"))
+
+
 @query("walk_forward_backtest")
 def walk_forward_backtest(t: Tables) -> DataFrame:
     """Frozen settings over the test seasons: calibrated, raw, market and frequency triples."""
