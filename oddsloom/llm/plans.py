@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, exact_dedup, packing, quality, warc
+from . import bitplanes, exact_dedup, jaccard_join, ngram_trie, packing, quality, warc
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -75,3 +75,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written as compressed byte planes and read back."""
     back = bitplanes.round_trip(spark, table(spark, sf_dir, "documents"))
     return back.select("doc_id", "start", "n_tokens", packing.digest(F.col("ids")).alias("ids_crc32"))
+
+
+@query("op3_prefix_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their four-word shingles."""
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@query("op2_elias_fano_trie_lm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of whole texts by an Elias-Fano n-gram trie."""
+    return ngram_trie.learn_and_score(table(spark, sf_dir, "documents"))
