@@ -28,17 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .hubs import connect
 from .storage import settled
 from .words import find_words, short_hash, shingle_hashes, word_hashes
 
 SLICE = 1 << 16  # cells of the count table sent in one row
 PART = 512  # partners of a class checked in one go
 RANGES = 32
-STARS = 2  # rounds against hubs before the rest is paired
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -151,12 +150,16 @@ def _enough(na: Column, nb: Column, percent: int) -> Column:
     return (na + nb) * percent
 
 
-def _fits(a: str, b: str, percent: int) -> Column:
-    """Length and positional filter of two list entries (structs or prefixes with n and pos)."""
-    na, nb, pa_, pb = (F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos"))
-    length = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    room = F.least(pa_, pb) + 1 + F.least(na - pa_, nb - pb) - 1
-    return length & (room * (100 + percent) >= _enough(na, nb, percent))
+def _fits(percent: int):
+    """Length and positional filter of two entries of a shared token."""
+
+    def test(x, y) -> Column:
+        nx, ny = x("n"), y("n")
+        length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
+        room = F.least(x("pos"), y("pos")) + F.least(nx - x("pos"), ny - y("pos"))
+        return length & (room * (100 + percent) >= _enough(nx, ny, percent))
+
+    return test
 
 
 def verify(pairs: DataFrame, sets: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
@@ -210,22 +213,8 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return settled(rows.mapInArrow(run, "node long, found binary").dropDuplicates(["node"]), "sets")
 
 
-def labels(spark: SparkSession, links: DataFrame) -> DataFrame:
-    return settled(components(links), "labels")
-
-
-def _labelled(lists: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Lists with each entry's component, and only those that hold two components or more."""
-    if label is None:
-        return lists.withColumn("comp", F.col("node"))
-    rows = lists.join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    open_ = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    return rows.join(open_, "token")
-
-
 def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int = 22) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
     counted = members(docs, k, sketch_bits)
     rows = counted.filter("slice is null").select("doc_id", "n", "node")
     classes = prefixes(docs, k, percent, sketch_bits, rarity(counted, sketch_bits))
@@ -234,30 +223,10 @@ def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bit
     shared = entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
     lists = settled(entries.join(shared, "token"), "lists")
     weight = lists.groupBy("node").agg(F.sum("c").alias("weight"))
-    lists = settled(lists.join(weight, "node").drop("c"), "lists")
+    lists = settled(lists.join(weight, "node").select(F.col("token").alias("key"), "node", "weight", "n", "pos"), "lists")
     first = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = wanted_sets(docs, first.join(weight.select("node"), "node").filter("doc_id is not null"), k)
-
-    links, label = None, None
-    for turn in range(STARS + 1):
-        now = _labelled(lists, label)
-        if turn < STARS:
-            hub = F.max(F.struct("weight", "node", "n", "pos", "comp")).alias("h")
-            hubs = now.groupBy("token").agg(hub)
-            now = settled(now.join(hubs, "token").filter("node <> h.node"), "lists")
-            lists = now.select("token", "node", "n", "pos", "weight")  # the hub has met them all
-            near = now.filter("comp <> h.comp").withColumnsRenamed({"n": "y_n", "pos": "y_pos"}).withColumns(
-                {"x_n": F.col("h.n"), "x_pos": F.col("h.pos")}).filter(_fits("x_", "y_", percent))
-            pairs = near.select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            now = settled(now, "lists")
-            x = now.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "comp")))
-            y = now.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "comp")))
-            near = x.join(y, "token").filter((F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & _fits("x_", "y_", percent))
-            pairs = near.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-        found = verify(pairs, sets, ranges, percent)
-        links = found if links is None else links.unionByName(found)
-        label = labels(spark, links)
+    label = connect(lists, _fits(percent), lambda pairs: verify(pairs, sets, ranges, percent))
 
     named = rows.join(label, "node", "left").withColumn("part", F.coalesce("component", "node"))
     named = settled(named.select("doc_id", "n", "part"), "named")

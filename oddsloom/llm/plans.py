@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, exact_dedup, jaccard_join, ngram_trie, packing, quality, warc
+from . import bitplanes, exact_dedup, fuzzy_lines, jaccard_join, language_crf, mixing, ngram_trie, packing, quality, warc
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -87,3 +87,31 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probabilities of whole texts by an Elias-Fano n-gram trie."""
     return ngram_trie.learn_and_score(table(spark, sf_dir, "documents"))
+
+
+@query("op9_crf_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of whole texts by a conditional random field over words."""
+    return language_crf.learn_and_predict(table(spark, sf_dir, "documents"))
+
+
+@query("op4_pfair_mix")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scheduled by source: shares in proportion to the root of a source's characters."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        F.col("doc.doc_id").alias("doc_id"), "src", "share", "block", "slot", "release", "deadline", "before")
+
+
+@query("op7_fuzzy_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with the line that stays for its class of near copies."""
+    return fuzzy_lines.line_classes(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents, without the ids."""
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.run(spark, sf_dir)
+    return pieces.withColumn("ids_crc32", packing.digest(F.col("ids"))).drop("ids")

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT = 500_000  # pieces in each of the two generations of a worker's cache
+KEPT = 1_000_000  # pieces in each of the two generations of a worker's cache
 BATCH = 256  # texts worked on at a time
+MARKS = ".,;:!?"
 _SPACE = re.compile(r"\s")
 _encoders: dict[str, Encoder] = {}
 
@@ -28,6 +29,13 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_names() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes as: printable ones as they are, others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -37,43 +45,54 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.kept, self.young, self.old = kept, {}, {}
+        self.byte_names = _byte_names()
+        self.feed = self._raw(["\n"])[0]
+        runs = [m * k for m in MARKS for k in (1, 2, 3)]
+        self.marks = dict(zip(runs, self._raw(runs)))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _letters(self, word: str) -> bytes:
+        """Ids of a piece of letters alone, one space before them or none: a single unit of the vocabulary's pattern."""
+        units = word.encode().decode("latin-1").translate(self.byte_names)
+        return np.array([t.id for t in self.model.tokenize(units)], "<u4").tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
         """Put the pieces into the young generation; b"" marks one that can't be cut out of its text."""
         if len(self.young) > self.kept:
             self.young, self.old = {}, self.young
-        old, new = self.old, []
+        old, young, new = self.old, self.young, []
         for p in pieces:
             if (v := old.get(p)) is not None:
-                self.young[p] = v
-            elif not p or p == "\n" or _SPACE.search(p, 1 if p[0] == "\n" else 0):
-                self.young[p] = b""
+                young[p] = v
+                continue
+            feed = p[:1] == "\n"
+            own = p[1:] if feed else p
+            core = own.rstrip(MARKS)
+            if core.isalpha() and (core == own or own[len(core) :] in self.marks):
+                word = self._letters(core) if feed else self._letters(" " + core)
+                young[p] = (self.feed if feed else b"") + word + self.marks.get(own[len(core) :], b"")
+            elif not own or _SPACE.search(own):
+                young[p] = b""
             else:
                 new.append(p)
-        self.young.update(zip(new, self._raw([p if p[0] == "\n" else " " + p for p in new])))
+        young.update(zip(new, self._raw([p if p[0] == "\n" else " " + p for p in new])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        known = self.young
-        missing = {p for pieces in cut for p in pieces if p not in known}
+        found = [list(map(self.young.get, pieces)) for pieces in cut]
+        missing = {p for pieces, ids in zip(cut, found) if None in ids for p, v in zip(pieces, ids) if v is None}
         if missing:
-            self._learn(list(missing))
-            known = self.young
-            again = {p for pieces in cut for p in pieces if p not in known}  # a generation ended meanwhile
-            if again:
-                self._learn(list(again))
-        out, whole = [], []
-        for i, pieces in enumerate(cut):
-            found = [known[p] for p in pieces]
-            if b"" in found:
-                whole.append(i)
-                out.append(b"")
-            else:
-                out.append(b"".join(found)[4:])  # without the line feed put before
+            known = {p: v for pieces, ids in zip(cut, found) if None in ids for p, v in zip(pieces, ids) if v is not None}
+            self._learn(missing)
+            known.update((p, self.young[p]) for p in missing)
+            found = [[known[p] for p in pieces] if None in ids else ids for pieces, ids in zip(cut, found)]
+        # a text with a piece that can't be cut out is encoded whole; the line feed put before each text goes
+        out = [b"".join(ids)[4:] if all(ids) else None for ids in found]
+        whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._raw([texts[i] for i in whole])):
             out[i] = ids
         return out
