@@ -61,7 +61,7 @@ def ids_of(rows: np.ndarray, n: int, kind: int) -> np.ndarray:
 class Writer:
     """Writes one shard; ids may be added in runs of any length."""
 
-    def __init__(self, out: BinaryIO, kind: int = 8, chunk: int = 1 << 16, level: int = 3):
+    def __init__(self, out: BinaryIO, kind: int = 8, chunk: int = 1 << 16, level: int = 1):
         self.out, self.kind, self.chunk, self.press = out, kind, chunk, zstandard.ZstdCompressor(level=level)
         self.place, self.ids, self.waiting, self.n_waiting = 0, 0, [], 0
         self.chunks, self.docs = [], []

@@ -2,7 +2,7 @@
 
 A large-star step hangs every neighbour above a node onto the smallest node it sees, a small-star step does so for the
 neighbours below; in a logarithmic number of rounds every edge leads from a node to the smallest of its component.
-Minima are pre-aggregated and met by joins that Spark can split, so a node with very many edges is no single task.
+Minima are pre-aggregated into tables of their own and met by joins that Spark can split, so a node with very many edges is no single task.
 Each round ends in a table in the shared folder. DataFrame operations only.
 """
 
@@ -16,12 +16,12 @@ from .storage import settled
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = settled(both.groupBy("u").agg(F.min("v").alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = settled(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -39,7 +39,7 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        now = settled(_small(_large(now)), "edges")
+        now = settled(_small(settled(_large(now), "edges")), "edges")
         if (after := _mark(now)) == mark:
             break
         mark = after

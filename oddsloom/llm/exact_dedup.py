@@ -109,7 +109,7 @@ def duplicate_groups(docs: DataFrame, filter_bits: int = FILTER_BITS, bits_per_r
             "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
         rest = tested.filter("maybe")
         groups = rest.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
-        joined = rest.join(groups, "text_sha256").select(
+        joined = rest.join(settled(groups, "dedup-groups"), "text_sha256").select(
             "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256")
         part = alone.unionByName(joined)
         out = part if out is None else out.unionByName(part)
@@ -131,7 +131,7 @@ def drop_duplicates(docs: DataFrame, filter_bits: int = FILTER_BITS, bits_per_ro
     row = row.withColumn("id", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-(2**63))))
     row = row.withColumn("maybe", test(hashed("sha")))
     rest = row.filter("maybe")
-    keep = rest.groupBy("sha").agg(F.max("id").alias("id"))
+    keep = settled(rest.groupBy("sha").agg(F.max("id").alias("id")), "dedup-keep")
     same = Window.partitionBy("sha", "id").orderBy("sha")
     stay = rest.join(keep, ["sha", "id"], "left_semi").withColumn("n", F.row_number().over(same)).filter("n = 1")
     return row.filter(~F.col("maybe")).select("doc.*").unionByName(stay.select("doc.*"))

@@ -27,7 +27,7 @@ def open_lists(lists: DataFrame, label: DataFrame | None) -> DataFrame:
     else:
         rows = lists.join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    return rows.join(several, "key")
+    return rows.join(settled(several, "open-lists"), "key")
 
 
 def connect(
@@ -43,6 +43,7 @@ def connect(
         now = open_lists(lists, label)
         if turn < STARS:
             hubs = now.groupBy("key").agg(F.max(F.struct("weight", "node", "comp", *own)).alias("hub"))
+            hubs = settled(hubs, "hubs")  # a table of its own, so that Spark can split a join with a long list
             now = settled(now.join(hubs, "key").filter("node <> hub.node"), "lists")
             lists = now.drop("hub", "comp")  # the hub has met them all
             near = now.filter("comp <> hub.comp").filter(fits(lambda c: F.col(f"hub.{c}"), F.col))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.kept, self.young, self.old = kept, {}, {}
         self.byte_names = _byte_names()
+        self.space = self.byte_names[32]
         self.feed = self._raw(["\n"])[0]
         runs = [m * k for m in MARKS for k in (1, 2, 3)]
         self.marks = dict(zip(runs, self._raw(runs)))
@@ -55,15 +57,14 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, word: str) -> bytes:
-        """Ids of a piece of letters alone, one space before them or none: a single unit of the vocabulary's pattern."""
-        units = word.encode().decode("latin-1").translate(self.byte_names)
-        return np.array([t.id for t in self.model.tokenize(units)], "<u4").tobytes()
+    def _letters(self, word: str, space: bool) -> bytes:
+        """Ids of a word of letters, one space before it or none: a single unit of the vocabulary's pattern."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.byte_names)
+        return array("I", [t.id for t in self.model.tokenize(self.space + word if space else word)]).tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        """Put the pieces into the young generation; b"" marks one that can't be cut out of its text."""
-        if len(self.young) > self.kept:
-            self.young, self.old = {}, self.young
+        """Put the pieces into the young generation; False marks one that can't be cut out of its text."""
         old, young, new = self.old, self.young, []
         for p in pieces:
             if (v := old.get(p)) is not None:
@@ -73,26 +74,27 @@ class Encoder:
             own = p[1:] if feed else p
             core = own.rstrip(MARKS)
             if core.isalpha() and (core == own or own[len(core) :] in self.marks):
-                word = self._letters(core) if feed else self._letters(" " + core)
+                word = self._letters(core, not feed)
                 young[p] = (self.feed if feed else b"") + word + self.marks.get(own[len(core) :], b"")
             elif not own or _SPACE.search(own):
-                young[p] = b""
+                young[p] = False
             else:
                 new.append(p)
         young.update(zip(new, self._raw([p if p[0] == "\n" else " " + p for p in new])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        found = [list(map(self.young.get, pieces)) for pieces in cut]
-        missing = {p for pieces, ids in zip(cut, found) if None in ids for p, v in zip(pieces, ids) if v is None}
-        if missing:
-            known = {p: v for pieces, ids in zip(cut, found) if None in ids for p, v in zip(pieces, ids) if v is not None}
-            self._learn(missing)
-            known.update((p, self.young[p]) for p in missing)
-            found = [[known[p] for p in pieces] if None in ids else ids for pieces, ids in zip(cut, found)]
-        # a text with a piece that can't be cut out is encoded whole; the line feed put before each text goes
-        out = [b"".join(ids)[4:] if all(ids) else None for ids in found]
-        whole = [i for i, ids in enumerate(out) if ids is None]
+        distinct = set().union(*cut)
+        if len(self.young) > self.kept:
+            self.young, self.old = {}, self.young
+        self._learn(distinct.difference(self.young))
+        get, out, whole = self.young.get, [], []
+        for i, pieces in enumerate(cut):
+            try:
+                out.append(b"".join(map(get, pieces))[4:])  # without the line feed put before
+            except TypeError:  # a piece that can't be cut out
+                whole.append(i)
+                out.append(b"")
         for i, ids in zip(whole, self._raw([texts[i] for i in whole])):
             out[i] = ids
         return out

@@ -141,7 +141,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST, frame_bytes: int = FR
     rows = rows.withColumn("key", F.coalesce("key", F.lit("-")))
     groups = rows.filter("large").groupBy(F.col("digest").alias("key")).agg(
         F.max("page_id").alias("keeper"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    joined = rows.join(groups, "key", "left").select("page_id", "url", "payload", "digest", "keeper")
+    joined = rows.join(settled(groups, "warc-groups"), "key", "left").select("page_id", "url", "payload", "digest", "keeper")
     day = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
