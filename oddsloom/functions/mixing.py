@@ -6,6 +6,7 @@ it stays inside generated code and never overflows under ANSI rules.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,14 +49,24 @@ def absorb(state: Column, key: Column) -> Column:
     return _finalise((state + low).bitwiseAND(F.lit(MASK)))
 
 
+def mix_array(state: int | np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One round in numpy: a seed, or the values of the round before, with integer keys."""
+    before = np.uint32(_finalise_int(state & MASK)) if isinstance(state, int) else state
+    x = before + (key & MASK).astype(np.uint32)
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(FACTOR_1)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(FACTOR_2)
+    return x ^ (x >> np.uint32(15))
+
+
+def finalise_sql(x: str) -> str:
+    a = f"((xor({x}, ({x}) >> 16) * {FACTOR_1}) & {MASK})"
+    b = f"((xor({a}, {a} >> 15) * {FACTOR_2}) & {MASK})"
+    return f"xor({b}, {b} >> 15)"
+
+
 def mix_sql(seed: int, *keys: str) -> str:
     """SQL text of the same value."""
-    def finalise(x: str) -> str:
-        a = f"((xor({x}, ({x}) >> 16) * {FACTOR_1}) & {MASK})"
-        b = f"((xor({a}, {a} >> 15) * {FACTOR_2}) & {MASK})"
-        return f"xor({b}, {b} >> 15)"
-
     x = str(_finalise_int(seed & MASK))
     for key in keys:
-        x = finalise(f"(({x} + (CAST({key} AS BIGINT) & {MASK})) & {MASK})")
+        x = finalise_sql(f"(({x} + (CAST({key} AS BIGINT) & {MASK})) & {MASK})")
     return x

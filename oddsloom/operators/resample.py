@@ -1,49 +1,102 @@
 """Seeded resampling: bootstrap intervals, permutations and two-sample statistics.
 
-Draws come from an integer hash of (seed, replicate, position), so the same seed gives the same
-interval on any cluster layout, and a lost task recomputes exactly its own draws. Every row spawns
-its own share of draws in place; one equi-join fetches the drawn values and one combinable
-aggregate per replicate finishes the job.
+The bootstrap weighs rows instead of drawing them: in replicate b a row counts w times, w being the
+Poisson(1) quantile of an integer hash of (seed, b, id). A weight depends on its own row alone, so
+each task turns its rows into ``resamples`` weighted sums in one vectorised pass, and only those
+sums are shuffled: no row is copied, ranked or joined, whatever the number of replicates. The same
+seed gives the same interval on any cluster layout, and a lost task recomputes exactly its own
+weights.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import CONFIDENCE, PERMUTATIONS, RESAMPLES, SEED
-from ..functions.mixing import absorb, mix
-from ..session import broadcast_if_small, keep
+from ..functions.mixing import RANGE, mix, mix_array
 from .windows import rank_within
 
 SLICE_BITS = 20  # 32-bit hashes fall into 4096 equal slices
+BLOCK_ROWS = 4096  # rows that a permutation moves among each other
+CELLS = 1 << 22  # weights worked out at a time
 
 
-def indexed(df: DataFrame, id_col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds ``pos`` (0-based, dense within keys) in hash order of the id, and the group size ``n``."""
-    hashed = df.withColumn("_h", mix(0, F.col(id_col)))
-    ranked = rank_within(hashed, list(keys), ["_h", id_col], F.shiftright("_h", SLICE_BITS), "_rank")
-    sized = ranked.withColumn("pos", F.col("_rank") - 1).drop("_h", "_rank")
-    if keys:
-        return sized.join(df.groupBy(*keys).agg(F.count("*").alias("n")), list(keys))
-    return sized.join(F.broadcast(df.agg(F.count("*").alias("n"))))  # a single row
+def poisson_steps() -> list[int]:
+    """Hashes from which a weight is at least 1, 2, ...: the distribution function times 2^32."""
+    steps, total, term = [], 0.0, math.exp(-1.0)
+    for k in range(1, 20):
+        total += term
+        term /= k
+        if (step := int(RANGE * total)) >= RANGE - 1:
+            break
+        steps.append(step)
+    return steps
+
+
+STEPS = poisson_steps()
+
+
+def weights(seed: int, replicates: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """(rows, replicates) Poisson weights."""
+    h = mix_array(mix_array(seed, replicates)[None, :], ids[:, None])
+    out = np.zeros(h.shape, np.uint8)
+    for step in STEPS:
+        out += h >= np.uint32(step)
+    return out
 
 
 def replicate_means(
     df: DataFrame, cols: Sequence[str], id_col: str, keys: Sequence[str] = (), seed: int = SEED,
     resamples: int = RESAMPLES,
 ) -> DataFrame:
-    """keys + b + the mean of every column over replicate b; all columns share the drawn rows."""
-    base = keep(indexed(df.select(id_col, *keys, *cols), id_col, keys))
-    draws = base.select(
-        *keys, "n", "pos", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")
-    ).withColumn("_s", mix(seed, F.col("b"))).withColumn("_h", absorb(F.col("_s"), F.col("pos"))).select(
-        *keys, "b", F.shiftright(F.col("_h") * F.col("n"), 32).alias("pos")
-    )
-    values = broadcast_if_small(base.select(*keys, "pos", *cols))
-    return draws.join(values, [*keys, "pos"]).groupBy(*keys, "b").agg(*[F.avg(c).alias(c) for c in cols])
+    """keys + b + the weighted mean of every column over replicate b; all columns share the weights."""
+    rows = df.select(*keys, F.col(id_col).cast("long").alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols])
+    n_keys = len(keys)
+    key_fields = [rows.schema[k] for k in keys]
+    names = [*keys, "_sums"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        kinds: list = []
+        for batch in batches:
+            kinds = [f.type for f in batch.schema][:n_keys]
+            ids = batch.column(n_keys).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = np.stack([np.ones(len(ids)), *(batch.column(n_keys + 1 + i).to_numpy(zero_copy_only=False) for i in range(len(cols)))])
+            for key, place in _positions(batch, n_keys).items():
+                if key not in total:
+                    total[key] = np.zeros((1 + len(cols), resamples))
+                for at in range(0, len(place), 1024):
+                    part = place[at : at + 1024]
+                    width = max(1, CELLS // len(part))
+                    for b in range(0, resamples, width):
+                        w = weights(seed, np.arange(b, min(b + width, resamples)), ids[part]).astype(np.float64)
+                        total[key][:, b : b + width] += values[:, part] @ w
+        for key, found in total.items():
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([k], t) for k, t in zip(key, kinds)), pa.array([found.T.tolist()], pa.list_(pa.list_(pa.float64())))], names)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields), "_sums array<array<double>>"])
+    parts = rows.mapInArrow(sums, schema).select(*keys, F.posexplode("_sums").alias("b", "_s"))
+    added = parts.groupBy(*keys, "b").agg(*[F.sum(F.col("_s")[i]).alias(f"_{i}") for i in range(1 + len(cols))])
+    return added.select(*keys, "b", *[F.try_divide(F.col(f"_{i + 1}"), F.col("_0")).alias(c) for i, c in enumerate(cols)])
+
+
+def _positions(batch: pa.RecordBatch, n_keys: int) -> dict[tuple, np.ndarray]:
+    """Row numbers of each key of a batch."""
+    if not n_keys:
+        return {(): np.arange(batch.num_rows)}
+    found: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(n_keys)))):
+        found.setdefault(key, []).append(i)
+    return {key: np.array(rows) for key, rows in found.items()}
 
 
 def _interval(values: Column, n: Column, confidence: float) -> list[Column]:
@@ -76,7 +129,7 @@ def mean_interval(
     confidence: float = CONFIDENCE,
 ) -> DataFrame:
     """Percentile interval of a mean per group: n, point, lo, hi, excludes_zero."""
-    rows = keep(df.filter(F.col(col).isNotNull()).select(id_col, *keys, col))
+    rows = df.filter(F.col(col).isNotNull()).select(id_col, *keys, col)
     points = _agg(rows, keys, F.count("*").alias("n"), F.avg(col).alias("point"))
     draws = replicate_means(rows, [col], id_col, keys, seed, resamples).withColumnRenamed(col, "value")
     return _finish(points, draws, keys, confidence)
@@ -100,7 +153,7 @@ def paired_gap_interval(
     """
     uneven = F.col(score).isNull() != F.col(reference).isNull()
     checked = df.withColumn(score, F.when(uneven, F.raise_error(F.lit("series are not paired")).cast("double")).otherwise(F.col(score)))
-    rows = keep(checked.filter(F.col(score).isNotNull()).select(id_col, *keys, score, reference))
+    rows = checked.filter(F.col(score).isNotNull()).select(id_col, *keys, score, reference)
     points = _agg(rows, keys, F.count("*").alias("n"), _gap_pct(F.avg(score), F.avg(reference)).alias("point"))
     draws = replicate_means(rows, [score, reference], id_col, keys, seed, resamples)
     value = draws.select(*keys, "b", _gap_pct(F.col(score), F.col(reference)).alias("value"))
@@ -120,7 +173,7 @@ def difference_interval(
     confidence: float = CONFIDENCE,
 ) -> DataFrame:
     """mean(a) - mean(b) of two disjoint groups, drawn independently; ``n`` is the smaller group."""
-    a, b = (keep(g.filter(F.col(col).isNotNull()).select(id_col, col)) for g in (a, b))
+    a, b = (g.filter(F.col(col).isNotNull()).select(id_col, col) for g in (a, b))
     pa = a.agg(F.count("*").alias("n_a"), F.avg(col).alias("m_a"))
     pb = b.agg(F.count("*").alias("n_b"), F.avg(col).alias("m_b"))
     points = pa.join(pb).select(F.least("n_a", "n_b").alias("n"), (F.col("m_a") - F.col("m_b")).alias("point"))
@@ -136,7 +189,7 @@ def gap_difference_interval(
     def one(df: DataFrame, tag: str) -> DataFrame:
         return df.agg(F.count("*").alias(f"n{tag}"), _gap_pct(F.avg(score), F.avg(reference)).alias(f"g{tag}"))
 
-    a, b = (keep(g.select(id_col, score, reference)) for g in (a, b))
+    a, b = (g.select(id_col, score, reference) for g in (a, b))
     both = one(a, "_a").join(one(b, "_b"))
     usable = F.least("n_a", "n_b") >= 2
     points = both.select(
@@ -163,25 +216,37 @@ def permutation_lift(
     """Does the movement carry the selection? One row: real lift, p-value, mean and p95 of lifts.
 
     ``bets``: id, edge, movement, roi. Movements are permuted across bets; edges and results stay.
-    Permutations that select nothing are dropped.
+    Bets are dealt by a hash to blocks of about ``BLOCK_ROWS``, and a permutation moves movements
+    within each block: the bet of the block's r-th id gets the movement of the bet with the r-th
+    hash. A task holds a block, and what leaves it is two sums for each permutation. Permutations
+    that select nothing are dropped; a test whose selection is empty has no p-value.
     """
-    base = keep(indexed(keep(bets.select(id_col, "edge", "movement", "roi")), id_col))
-    spread = base.select("pos", "edge", "roi", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("b"))
-    hashed = spread.withColumn("_s", mix(seed, F.col("b"))).withColumn("_h", absorb(F.col("_s"), F.col("pos"))).drop("_s")
-    ranked = rank_within(hashed, ["b"], ["_h", "pos"], F.shiftright("_h", SLICE_BITS), "_to")
-    source = broadcast_if_small(base.select((F.col("pos") + 1).alias("_to"), "movement"))
-    kept = ranked.join(source, "_to").filter(F.col("edge") + weight * F.col("movement") > threshold)
-    overall = base.agg(
+    rows = bets.select(F.col(id_col).cast("long").alias("id"), "edge", "movement", "roi")
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+
+    def permuted(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("id")
+        ids, edge, movement, roi = (block[c].to_numpy() for c in ("id", "edge", "movement", "roi"))
+        n, total = np.zeros(permutations), np.zeros(permutations)
+        for b in range(permutations):
+            order = np.lexsort((ids, mix_array(mix_array(seed, np.array([b])), ids)))
+            chosen = edge + weight * movement[order] > threshold
+            n[b], total[b] = chosen.sum(), roi[chosen].sum()
+        return pd.DataFrame({"b": np.arange(permutations), "n": n, "roi": total})
+
+    drawn = rows.groupBy((mix(0, F.col("id")) % blocks).alias("block")).applyInPandas(permuted, "b int, n double, roi double")
+    selected = F.col("edge") + weight * F.col("movement") > threshold
+    overall = rows.agg(
         F.count("*").alias("n"), F.avg("roi").alias("baseline_roi"),
-        F.avg(F.when(F.col("edge") + weight * F.col("movement") > threshold, F.col("roi"))).alias("selected_roi"),
-        F.count_if(F.col("edge") + weight * F.col("movement") > threshold).alias("n_selected"),
-    )
-    lifts = kept.groupBy("b").agg(F.avg("roi").alias("roi")).join(F.broadcast(overall)).withColumn(
-        "lift", F.col("roi") - F.col("baseline_roi")
+        F.avg(F.when(selected, F.col("roi"))).alias("selected_roi"), F.count_if(selected).alias("n_selected"),
     )
+    lifts = drawn.groupBy("b").agg(F.try_divide(F.sum("roi"), F.sum("n")).alias("roi")).filter("roi is not null")
+    # a single row beside at most ``permutations`` rows
+    both = F.broadcast(overall).join(lifts, F.col("n").isNotNull(), "left").withColumn("lift", F.col("roi") - F.col("baseline_roi"))
     real = F.col("selected_roi") - F.col("baseline_roi")
-    return lifts.groupBy("n", "n_selected", "baseline_roi", "selected_roi").agg(
-        F.count("*").alias("n_effective"), F.avg(F.when(F.col("lift") >= real, 1.0).otherwise(0.0)).alias("p_value"),
+    exceeds = F.when(real.isNotNull() & F.col("lift").isNotNull(), (F.col("lift") >= real).cast("double"))
+    return both.groupBy("n", "n_selected", "baseline_roi", "selected_roi").agg(
+        F.count("lift").alias("n_effective"), F.avg(exceeds).alias("p_value"),
         F.avg("lift").alias("mean_lift"), F.percentile("lift", F.lit(0.95)).alias("p95_lift"),
     ).withColumn("real_lift", real)
 
@@ -207,13 +272,20 @@ def welch(df: DataFrame, value: str, short: Column, keys: Sequence[str]) -> Data
 def upper_median(df: DataFrame, col: str, id_col: str, bucket: Column) -> DataFrame:
     """One row ``median``: the element at position n // 2 of the sorted values.
 
-    ``bucket`` does not decrease with the value. Bucket counts locate the one bucket that holds the
-    position; only that bucket is ordered.
+    ``bucket`` does not decrease with the value. Running bucket counts find the one bucket that
+    holds the position; the values of that bucket alone are counted and ordered.
     """
-    tagged = df.select(F.col(col).alias("_v"), F.col(id_col).alias("_i"), bucket.alias("_slice"))
-    ranked = rank_within(tagged, [], ["_v", "_i"], F.col("_slice"), "_rank")
-    target = df.agg((F.floor(F.count("*") / 2) + 1).alias("_t"))
-    return ranked.join(F.broadcast(target), F.col("_rank") == F.col("_t")).select(F.col("_v").alias("median"))
+    tagged = df.select(F.col(col).alias("_v"), bucket.alias("_slice"))
+    sizes = tagged.groupBy("_slice").agg(F.count("*").alias("_n"))
+    along = W.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(W.unboundedPreceding, 0)  # a row for each bucket
+    upto = sizes.select("_slice", "_n", F.sum("_n").over(along).alias("_upto"), F.sum("_n").over(W.partitionBy(F.lit(0))).alias("_all"))
+    target = F.floor(F.col("_all") / 2)
+    home = upto.filter((F.col("_upto") - F.col("_n") <= target) & (target < F.col("_upto"))).select(
+        "_slice", (target - (F.col("_upto") - F.col("_n"))).alias("_place"))
+    values = tagged.join(F.broadcast(home), "_slice").groupBy("_v", "_place").agg(F.count("*").alias("_n"))
+    inside = W.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)  # different values of one bucket
+    placed = values.withColumn("_upto", F.sum("_n").over(inside))
+    return placed.filter((F.col("_upto") - F.col("_n") <= F.col("_place")) & (F.col("_place") < F.col("_upto"))).select(F.col("_v").alias("median"))
 
 
 def median_split(df: DataFrame, col: str, id_col: str, bucket: Column) -> DataFrame:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import SEED
-from ..functions.mixing import mix_sql
+from ..constants import PERMUTATIONS, RESAMPLES, SEED
+from ..functions.mixing import MASK, finalise_sql, mix_sql
 from ..functions.outcomes import brier, outcome_index
 from ..operators import resample as R
+from ..operators.resample import BLOCK_ROWS, STEPS
 from ..views import Tables
 from .registry import query
 from .scoring import FORECAST_SQL, market_forecasts, rounded
 
-B = 200  # replicates in the registered queries; the published protocol uses 10 000
+B = RESAMPLES
 
 
 def scored_pairs(t: Tables) -> DataFrame:
@@ -31,21 +32,21 @@ pairs AS (SELECT match_id, any_value(league) AS league, any_value(outcome) AS ou
 
 
 def ranked_sql(name: str, source: str, cols: str, keys: str = "") -> str:
-    """``pos`` in hash order of match_id and the group size, in SQL."""
-    part = f"PARTITION BY {keys}" if keys else ""
+    """The rows of ``source`` that replicates weigh, in SQL; ``pos`` is the hashed id."""
     k = f"{keys}, " if keys else ""
     return f"""
-{name} AS (SELECT {k}{cols}, row_number() OVER ({part} ORDER BY {mix_sql(0, 'match_id')}, match_id) - 1 AS pos, count(*) OVER ({part}) AS n FROM {source})"""
+{name} AS (SELECT {k}{cols}, match_id AS pos FROM {source})"""
 
 
 def draws_sql(name: str, base: str, cols: list[str], seed: int, keys: str = "", b: int = B) -> str:
-    """Mean of each column per replicate, in SQL."""
-    k = f"d.{keys}, " if keys else ""
-    on = f"v.{keys} = d.{keys} AND " if keys else ""
-    means = ", ".join(f"avg(v.{c}) AS {c}" for c in cols)
+    """Weighted mean of each column per replicate, in SQL: Poisson weights of hash(seed, b, id)."""
+    k = f"{keys}, " if keys else ""
+    weight = " + ".join(f"(h >= {step})::DOUBLE" for step in STEPS)
+    means = ", ".join(f"sum(w * {c}) / nullif(sum(w), 0) AS {c}" for c in cols)
     return f"""
-{name}_d AS (SELECT {keys + ', ' if keys else ''}b, ({mix_sql(seed, 'b', 'pos')} * n) >> 32 AS j FROM {base}, (SELECT unnest(range({b})) AS b)),
-{name} AS (SELECT {k}d.b, {means} FROM {name}_d d JOIN {base} v ON {on}v.pos = d.j GROUP BY ALL)"""
+{name}_s AS (SELECT b, {mix_sql(seed, 'b')} AS s FROM (SELECT unnest(range({b})) AS b)),
+{name}_h AS (SELECT {k}b, {', '.join(cols)}, {finalise_sql(f"((s + (pos & {MASK})) & {MASK})")} AS h FROM {base}, {name}_s),
+{name} AS (SELECT {k}b, {means} FROM (SELECT *, {weight} AS w FROM {name}_h) GROUP BY ALL)"""
 
 
 @query("bootstrap_mean", f"""
@@ -151,15 +152,16 @@ def movement_bets(t: Tables) -> DataFrame:
 
 
 @query("permutation_p_value", f"""
-WITH {BETS},{ranked_sql('base', 'bets', 'edge, movement, roi')},
-sp AS (SELECT b, pos, edge, roi, row_number() OVER (PARTITION BY b ORDER BY {mix_sql(SEED, 'b', 'pos')}, pos) - 1 AS j FROM base, (SELECT unnest(range(49)) AS b)),
-l AS (SELECT b, avg(sp.roi) AS roi FROM sp JOIN base s ON s.pos = sp.j WHERE sp.edge + 0.5 * s.movement > 0.05 GROUP BY b),
+WITH {BETS}, base AS (SELECT *, {mix_sql(0, 'match_id')} % greatest(1, ceil((SELECT count(*) FROM bets) / {BLOCK_ROWS})::BIGINT) AS blk FROM bets),
+fixed AS (SELECT *, row_number() OVER (PARTITION BY blk ORDER BY match_id) AS r FROM base),
+moved AS (SELECT b, blk, movement, row_number() OVER (PARTITION BY b, blk ORDER BY {mix_sql(SEED, 'b', 'match_id')}, match_id) AS r FROM base, (SELECT unnest(range({PERMUTATIONS})) AS b)),
+l AS (SELECT b, avg(f.roi) AS roi FROM moved m JOIN fixed f USING (blk, r) WHERE f.edge + 0.5 * m.movement > 0.05 GROUP BY b),
 o AS (SELECT count(*) AS n, count(*) FILTER (edge + 0.5 * movement > 0.05) AS n_selected, avg(roi) AS baseline_roi, avg(roi) FILTER (edge + 0.5 * movement > 0.05) AS selected_roi FROM base)
 SELECT n, n_selected, round(baseline_roi, 6) AS baseline_roi, round(selected_roi, 6) AS selected_roi, count(*) AS n_effective, round(avg((roi - baseline_roi >= selected_roi - baseline_roi)::INT), 6) AS p_value,
   round(avg(roi - baseline_roi), 6) AS mean_lift, round(quantile_cont(roi - baseline_roi, 0.95), 6) AS p95_lift, round(selected_roi - baseline_roi, 6) AS real_lift FROM l, o GROUP BY n, n_selected, o.baseline_roi, o.selected_roi
 """)
 def permutation_p_value(t: Tables) -> DataFrame:
-    out = R.permutation_lift(movement_bets(t), 0.5, 0.05, "match_id", permutations=49)
+    out = R.permutation_lift(movement_bets(t), 0.5, 0.05, "match_id")
     return rounded(out, "baseline_roi", "selected_roi", "p_value", "mean_lift", "p95_lift", "real_lift")
 
 

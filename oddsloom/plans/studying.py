@@ -147,7 +147,7 @@ def composite_study(t: Tables) -> DataFrame:
         raise ValueError("no grid cell selects enough validation bets")
     bets = ST.taken_bets(study_rows(t, TEST)).select("match_id", "edge", "movement", "roi")
     bets = keep(bets)
-    out = ST.composite_run(bets, best["w"], best["threshold"], resamples=B, permutations=49)
+    out = ST.composite_run(bets, best["w"], best["threshold"], resamples=B)
     names = ["baseline_roi", "selected_roi", "p_value", "mean_lift", "p95_lift", "real_lift", "difference", "lo", "hi"]
     return rounded(out, *names).withColumns({"w": F.lit(best["w"]), "threshold": F.lit(best["threshold"])})
 
