@@ -39,26 +39,29 @@ def quoted(odds: Column) -> Column:
     return ok[0] & ok[1] & ok[2]
 
 
+LEAST_EXPONENT, MOST_EXPONENT = 1e-3, 20.0
+
+
 def fair_proportional(odds: Column) -> Column:
     return normalise(implied(odds))
 
 
 def power_exponent(odds: Column) -> Column:
-    """k with sum((1/o)^k) = 1; already fair books keep k = 1."""
+    """k with sum((1/o)^k) = 1 in [0.001, 20], NULL when there is none; already fair books keep k = 1."""
     logs = F.transform(odds, lambda o: F.log(o))
 
     def newton(l: Column) -> Column:
-        # the excess is convex and falling in k, so the steps settle from one side
+        # the excess is convex and falling in k: from the left end the steps climb to the root without passing it
         def step(k: Column, _: Column) -> Column:
             powers = [F.exp(-k * l[i]) for i in range(3)]
             slope = powers[0] * l[0] + powers[1] * l[1] + powers[2] * l[2]
             return k + (powers[0] + powers[1] + powers[2] - 1.0) / slope
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(1.0), step)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(2 * NEWTON_STEPS)), F.lit(LEAST_EXPONENT), step)
 
     root = F.transform(F.array(logs), newton)[0]
     fair_already = F.abs(book_sum(odds) - 1.0) < 1e-12
-    return F.when(fair_already, 1.0).otherwise(F.greatest(F.lit(1e-3), F.least(root, F.lit(20.0))))
+    return F.when(fair_already, 1.0).when((root >= LEAST_EXPONENT) & (root <= MOST_EXPONENT), root)
 
 
 def fair_power(odds: Column) -> Column:

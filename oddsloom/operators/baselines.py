@@ -12,7 +12,7 @@ from ..constants import DERIVED_MARKETS, GRID_GOALS
 from ..functions.calendar import monday
 from ..functions.markets import market_hit
 from ..functions.outcomes import outcome_index
-from ..session import checked_broadcast
+from ..session import keep
 
 
 def earlier_weeks() -> WindowSpec:
@@ -45,7 +45,7 @@ def outcome_frequencies(played: DataFrame) -> DataFrame:
 def with_frequency(played: DataFrame, seasons: Sequence) -> DataFrame:
     """Target-season rows with the week's frequency triple as ``freq``."""
     target = with_week(played.filter(F.col("season").isin(list(seasons))))
-    return target.join(checked_broadcast(outcome_frequencies(played)), ["league", "week"])
+    return target.join(keep(outcome_frequencies(played)), ["league", "week"])
 
 
 def market_frequencies(played: DataFrame) -> DataFrame:

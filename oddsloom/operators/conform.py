@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DECLARABLE_REASONS, DEFAULT_REASON, TOP_LEAGUES
-from ..session import checked_broadcast
+from ..session import keep
 
 
 def teams_of(matches: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def resolve_aliases(rows: DataFrame, names: Sequence[str], aliases: DataFrame, t
     Names without an alias pass through. Both lookups are dimension tables, broadcast when their
     counted size allows it.
     """
-    small_aliases, small_teams = checked_broadcast(aliases), checked_broadcast(teams)
+    small_aliases, small_teams = keep(aliases), keep(teams)
     out = rows
     for name in names:
         a = small_aliases.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical"))
@@ -65,8 +65,8 @@ def resolve_names(names: DataFrame, teams: DataFrame, aliases: DataFrame, column
     Adds team, stage (0 = unresolved, the name itself comes back). Each distinct name is resolved
     once against its league's team list, an equi-join instead of a substring nested loop.
     """
-    lists = checked_broadcast(teams.groupBy("league").agg(F.collect_set("team").alias("_teams")))
-    lookup = checked_broadcast(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_alias")))
+    lists = keep(teams.groupBy("league").agg(F.collect_set("team").alias("_teams")))
+    lookup = keep(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_alias")))
     distinct = names.select("league", F.col(column).alias("_name")).distinct()
     settled = (
         distinct.join(lists, "league", "left")

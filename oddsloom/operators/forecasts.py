@@ -12,7 +12,7 @@ from ..functions import grid as G
 from ..functions import odds as O
 from ..functions.markets import handicap_covered, market_hit, market_prob
 from ..functions.outcomes import outcome_index
-from ..session import checked_broadcast
+from ..session import keep
 from .baselines import market_frequencies, outcome_frequencies, with_week
 from .joins import expected_goals, with_strengths
 from .strengths import SETTING, Setting, fit_all, grid_settings, target_folds
@@ -22,7 +22,7 @@ BY = ["league", "week"]
 
 def predict(fixtures: DataFrame, strengths: DataFrame, by: Sequence[str] = (*BY, *SETTING)) -> DataFrame:
     """Adds lam_h, lam_a, rho and the 7 x 7 outcome triple ``model`` per fixture and setting."""
-    small = checked_broadcast(strengths)
+    small = keep(strengths)
     keyed = [c for c in by if c in fixtures.columns]
     rows = fixtures
     if len(keyed) < len(by):  # the settings come from the strengths: one row per setting
@@ -49,7 +49,7 @@ def score_season_set(
 ) -> DataFrame:
     """Frozen settings over the test seasons: model (calibrated), raw, market and frequency triples."""
     preds = walk_forward(played, seasons, grid_settings([xi], [w], [kappa]))
-    freq = checked_broadcast(outcome_frequencies(played))
+    freq = keep(outcome_frequencies(played))
     odds = F.array("odds_h", "odds_d", "odds_a")
     raw = F.col("model")
     return (
@@ -93,7 +93,7 @@ def derived_rows(preds: DataFrame, frequencies: DataFrame, temperatures: dict[st
     long = (
         rows.select("match_id", "league", "season", "week", F.inline(F.array(*items)))
         .filter("y IS NOT NULL")
-        .join(checked_broadcast(frequencies), ["league", "week", "market"], "left")
+        .join(keep(frequencies), ["league", "week", "market"], "left")
         .withColumn("freq_p", F.coalesce("freq", F.lit(0.5)))
         .drop("freq")
     )
@@ -200,7 +200,7 @@ def score_fixtures(
     dated = with_week(fixtures)
     folds = dated.select("league", "week").distinct()
     settings = grid_settings([xi], [w], [kappa])
-    strengths = checked_broadcast(fit_all(played, folds, settings))
+    strengths = keep(fit_all(played, folds, settings))
     rates = expected_goals(with_strengths(dated, strengths, BY))
     if lineups is not None:
         rates = apply_lineups(rates, lineups)

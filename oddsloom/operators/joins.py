@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import ISSUES, SETTLE_TOLERANCE_DAYS, SHARP_BOOK
 
 FIXTURE = ("league", "home", "away")
+MEETING = (*FIXTURE, "commence_date")  # a fixture is played every season: one meeting of it
 # direct orientation before swapped; same day, then earlier before later
 DELTAS = (0, -1, 1, -2, 2)
 
@@ -83,27 +84,36 @@ def nearest_result(
 def latest_snapshot(
     quotes: DataFrame, by: Sequence[str] = FIXTURE, book: str = SHARP_BOOK
 ) -> DataFrame:
-    """Newest head-to-head snapshot of one book before kick-off, only when it has all three prices
-    (s_home, s_draw, s_away).
+    """Newest head-to-head snapshot of one book before kick-off for each meeting (``by`` and the
+    kick-off's day), only when it has all three prices (s_home, s_draw, s_away).
 
     There is no fallback to an older snapshot that was complete. Two combinable aggregates: prices
-    per (fixture, time), then the newest time per fixture; a duplicate price keeps the lowest.
+    per (meeting, time), then the newest time per meeting; a duplicate price keeps the lowest.
     """
     live = quotes.filter(
         (F.col("book") == book) & (F.col("market") == "h2h") & (F.col("fetched_at") <= F.col("commence_time"))
-    )
+    ).withColumn("commence_date", F.to_date("commence_time"))
+    meeting = [*by, "commence_date"]
     names = [f"s_{i}" for i in ISSUES]
     prices = [F.min(F.when(F.col("outcome") == i, F.col("price"))).alias(n) for i, n in zip(ISSUES, names)]
-    moments = live.groupBy(*by, "fetched_at").agg(*prices, F.max("commence_time").alias("commence_time"))
-    newest = moments.groupBy(*by).agg(F.max(F.struct("fetched_at", "commence_time", *names)).alias("_s"))
-    return newest.select(*by, "_s.*").dropna(subset=names)
+    moments = live.groupBy(*meeting, "fetched_at").agg(*prices, F.max("commence_time").alias("commence_time"))
+    newest = moments.groupBy(*meeting).agg(F.max(F.struct("fetched_at", "commence_time", *names)).alias("_s"))
+    return newest.select(*meeting, "_s.*").dropna(subset=names)
+
 
+def snapshot_for(targets: DataFrame, snapshots: DataFrame, id_col: str, by: Sequence[str] = FIXTURE) -> DataFrame:
+    """Each target (id, fixture, date) with the snapshot of its meeting: kick-off on the day, or a
+    day before or after, in this order. Adds the quote's age; targets without one are left out.
 
-def snapshot_for(targets: DataFrame, snapshots: DataFrame, by: Sequence[str] = FIXTURE) -> DataFrame:
-    """Snapshot usable for a target date: kick-off within a day of it; adds the quote's age."""
-    near = F.abs(F.datediff("date", F.to_date("commence_time"))) <= 1
-    age = F.greatest(F.lit(0), F.datediff("date", F.to_date("fetched_at")))
-    return targets.join(snapshots, list(by)).filter(near).withColumn("age_days", age)
+    Three dated copies of a target and an equi-join on the meeting.
+    """
+    shifts = F.explode(F.array(*[F.lit(d) for d in (0, -1, 1)])).alias("_shift")
+    dated = targets.select(id_col, *by, "date", shifts).withColumn("commence_date", F.expr("date_add(date, _shift)"))
+    hits = dated.join(snapshots, [*by, "commence_date"])
+    kept = [c for c in snapshots.columns if c not in by]
+    rank = F.struct(F.abs("_shift"), "commence_date")
+    best = hits.groupBy(id_col).agg(F.min_by(F.struct("date", *kept), rank).alias("_b")).select(id_col, "_b.*")
+    return best.withColumn("age_days", F.greatest(F.lit(0), F.datediff("date", F.to_date("fetched_at"))))
 
 
 def best_prices(

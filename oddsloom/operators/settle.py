@@ -50,9 +50,9 @@ def sync_results(journal: DataFrame, teams: DataFrame, matches: DataFrame, snaps
 
     ``journal``: entry_id, match, competition, date, home, away (NULL when the key must be split;
     ``teams`` holds the split keys), actual_score. ``snapshots``: latest complete snapshot per
-    fixture. Adds actual_score, closing, provisional, shift and ``pending_reason``.
+    meeting; an entry takes that of its own date, a day apart at most. Adds actual_score, closing, provisional, shift and ``pending_reason``.
     """
-    from .joins import nearest_result
+    from .joins import nearest_result, snapshot_for
 
     split = teams.select(F.col("league").alias("competition"), "match", F.col("home").alias("_h"), F.col("away").alias("_a"))
     known = journal.join(split, ["competition", "match"], "left").withColumns({
@@ -68,10 +68,10 @@ def sync_results(journal: DataFrame, teams: DataFrame, matches: DataFrame, snaps
         matches.select("match_id", "league", "home", "away", "date", "fthg", "ftag", F.concat_ws("-", "fthg", "ftag").alias("score"), closing.alias("closing")),
         ["score", "closing"], id_col="entry_id",
     ).select("entry_id", "shift", "score", "closing")
-    snap = snapshots.select(
-        "league", "home", "away", F.struct(F.col("s_home").alias("home"), F.col("s_draw").alias("draw"), F.col("s_away").alias("away")).alias("provisional")
-    )
-    out = known.join(found, "entry_id", "left").join(snap, ["league", "home", "away"], "left")
+    prices = F.struct(F.col("s_home").alias("home"), F.col("s_draw").alias("draw"), F.col("s_away").alias("away"))
+    named = known.filter(F.col("home").isNotNull() & F.col("away").isNotNull())
+    snap = snapshot_for(named, snapshots, "entry_id").select("entry_id", prices.alias("provisional"))
+    out = known.join(found, "entry_id", "left").join(snap, "entry_id", "left")
     reason = F.when(due & (F.col("home").isNull() | F.col("away").isNull()), "teams_not_resolved").when(due & F.col("score").isNull(), "not_in_results")
     return out.withColumns({"pending_reason": reason, "actual_score": F.coalesce("actual_score", "score")}).drop("score", "league")
 
@@ -138,14 +138,29 @@ def freshness_table(entries: DataFrame, id_col: str, resamples: int = K.RESAMPLE
 
 
 def stale_alert(entries: DataFrame, id_col: str, resamples: int = K.RESAMPLES) -> DataFrame:
-    """Stale minus fresh gap: an alert needs more than three points and an interval without 0."""
-    rows = entries.filter("market IS NOT NULL").select(
+    """Stale minus fresh gap: an alert needs more than three points and an interval without 0.
+
+    The point is the difference of the two gaps of ``freshness_table``; a bucket with fewer rows, or
+    fewer quoted rows, than the minimum has no gap, and then there is no point, interval or alert.
+    """
+    rows = entries.select(
         id_col, freshness_bucket(F.col("odds_age_days")).alias("bucket"), brier(F.col("probs"), F.col("outcome")).alias("score"),
-        brier(F.col("market"), F.col("outcome")).alias("reference"),
+        F.when(F.col("market").isNotNull(), brier(F.col("market"), F.col("outcome"))).alias("reference"),
     )
-    ci = R.gap_difference_interval(rows.filter("bucket = 'stale'"), rows.filter("bucket = 'fresh'"), "score", "reference", id_col, resamples=resamples)
+    sides = {}
+    for side in ("stale", "fresh"):
+        one = F.col("bucket") == side
+        usable = (F.count_if(one) >= K.BUCKET_MIN_N) & (F.count(F.when(one, F.col("reference"))) >= K.BUCKET_MIN_N)
+        score, reference = F.avg(F.when(one, F.col("score"))), F.avg(F.when(one, F.col("reference")))
+        sides[side] = F.when(usable, F.try_divide((score - reference) * 100.0, reference))
+    point = rows.agg((sides["stale"] - sides["fresh"]).alias("point"))
+    quoted = rows.filter("reference IS NOT NULL")
+    ci = R.gap_difference_interval(quoted.filter("bucket = 'stale'"), quoted.filter("bucket = 'fresh'"), "score", "reference", id_col, resamples=resamples)
+    both = ci.drop("point").join(F.broadcast(point))  # single rows
+    shown = F.col("point").isNotNull()
     alert = (F.col("point") > K.STALE_ALERT_PTS) & F.coalesce("excludes_zero", F.lit(False))
-    return ci.withColumn("alert", F.when(F.col("point").isNotNull(), alert))
+    return both.select(
+        "n", "point", *[F.when(shown, F.col(c)).alias(c) for c in ("lo", "hi", "excludes_zero")], F.when(shown, alert).alias("alert"))
 
 
 def focus_month(monthly: DataFrame, month: str | None = None) -> DataFrame:

@@ -152,7 +152,8 @@ def fit_batch(
 
     Inputs have shape (f, m, m), indexed [fit, home, away]; ``kappa`` has shape (f,). Each step
     solves the Poisson information plus ridge for attacks, defences and home edge, then moves rho
-    by a scalar step inside its bounds. A team without rows keeps zero strengths.
+    by a scalar step inside its bounds. A team without rows keeps zero strengths. Fits that don't
+    converge fail the task.
     """
     f, m, _ = weight.shape
     att, dfc = np.zeros((f, m)), np.zeros((f, m))
@@ -190,6 +191,9 @@ def fit_batch(
         move *= np.minimum(1.0, 2.0 / np.maximum(np.abs(move).max(1), 1e-300))[:, None]
         att, dfc, edge = att + move[:, :m], dfc + move[:, m : 2 * m], edge + move[:, 2 * m]
         rho = np.clip(rho + np.divide(g_rho, i_rho, out=np.zeros(f), where=i_rho > 0), -RHO_BOUND, RHO_BOUND)
+    else:
+        if (gradient > 1e-6 * np.maximum(1.0, weight.sum((1, 2)))).any():
+            raise ArithmeticError(f"{int((gradient > tolerance).sum())} fits did not converge in {max_steps} steps")
     present = (weight.sum(2) + weight.sum(1)) > 0
     shift = np.log((np.exp(att) * present).sum(1) / np.maximum(present.sum(1), 1))[:, None]
     return Fits(att - shift, dfc + shift, edge, rho, gradient, steps)

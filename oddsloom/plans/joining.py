@@ -62,29 +62,35 @@ def nearest_result(t: Tables) -> DataFrame:
 
 
 SNAP_SQL = """
-live AS (SELECT * FROM book_odds_v WHERE book = 'pinnacle' AND market = 'h2h' AND fetched_at <= commence_time),
-snap AS (SELECT league, home, away, fetched_at, max(commence_time) AS commence_time, min(price) FILTER (outcome = 'home') AS h, min(price) FILTER (outcome = 'draw') AS d, min(price) FILTER (outcome = 'away') AS a
-  FROM live l WHERE fetched_at = (SELECT max(fetched_at) FROM live x WHERE x.league = l.league AND x.home = l.home AND x.away = l.away) GROUP BY ALL),
+live AS (SELECT *, CAST(commence_time AS DATE) AS commence_date FROM book_odds_v WHERE book = 'pinnacle' AND market = 'h2h' AND fetched_at <= commence_time),
+snap AS (SELECT league, home, away, commence_date, fetched_at, max(commence_time) AS commence_time, min(price) FILTER (outcome = 'home') AS h, min(price) FILTER (outcome = 'draw') AS d, min(price) FILTER (outcome = 'away') AS a
+  FROM (SELECT *, max(fetched_at) OVER (PARTITION BY league, home, away, commence_date) AS newest FROM live) WHERE fetched_at = newest GROUP BY ALL),
 full_snap AS (SELECT * FROM snap WHERE h IS NOT NULL AND d IS NOT NULL AND a IS NOT NULL)
 """
 
 
-@query("latest_complete_snapshot", f"WITH {SNAP_SQL} SELECT league, home, away, fetched_at, commence_time, h AS home_odds, d AS draw_odds, a AS away_odds FROM full_snap")
+def near_snap_sql(name: str, targets: str, id_col: str) -> str:
+    """The snapshot of each target's meeting, kick-off a day apart at most, in SQL."""
+    return f"""
+{name} AS (SELECT * FROM (SELECT t.{id_col}, t.date, s.h, s.d, s.a, s.fetched_at, row_number() OVER (PARTITION BY t.{id_col} ORDER BY abs(date_diff('day', t.date, s.commence_date)), s.commence_date) AS rn
+  FROM {targets} t JOIN full_snap s ON s.league = t.league AND s.home = t.home AND s.away = t.away AND abs(date_diff('day', t.date, s.commence_date)) <= 1) WHERE rn = 1)"""
+
+
+@query("latest_complete_snapshot", f"WITH {SNAP_SQL} SELECT league, home, away, commence_date, fetched_at, commence_time, h AS home_odds, d AS draw_odds, a AS away_odds FROM full_snap")
 def latest_complete_snapshot(t: Tables) -> DataFrame:
     return J.latest_snapshot(t.book_odds).select(
-        *J.FIXTURE, "fetched_at", "commence_time",
+        *J.MEETING, "fetched_at", "commence_time",
         F.col("s_home").alias("home_odds"), F.col("s_draw").alias("draw_odds"), F.col("s_away").alias("away_odds"),
     )
 
 
 @query("snapshot_with_date_guard", f"""
-WITH {SNAP_SQL}
-SELECT m.match_id, s.h AS home_odds, greatest(0, date_diff('day', CAST(s.fetched_at AS DATE), m.date)) AS age_days
-FROM matches_v m JOIN full_snap s ON s.league = m.league AND s.home = m.home AND s.away = m.away WHERE abs(date_diff('day', m.date, CAST(s.commence_time AS DATE))) <= 1
+WITH {SNAP_SQL},{near_snap_sql('near', 'matches_v', 'match_id')}
+SELECT match_id, h AS home_odds, greatest(0, date_diff('day', CAST(fetched_at AS DATE), date)) AS age_days FROM near
 """)
 def snapshot_with_date_guard(t: Tables) -> DataFrame:
     targets = t.matches.select("match_id", *J.FIXTURE, "date")
-    out = J.snapshot_for(targets, J.latest_snapshot(t.book_odds))
+    out = J.snapshot_for(targets, J.latest_snapshot(t.book_odds), "match_id")
     return out.select("match_id", F.col("s_home").alias("home_odds"), "age_days")
 
 

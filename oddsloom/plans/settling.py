@@ -11,7 +11,7 @@ from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import settle as S
 from ..views import Tables
-from .joining import SNAP_SQL
+from .joining import SNAP_SQL, near_snap_sql
 from .registry import query
 from .resampling import B, PAIRS, draws_sql, ranked_sql
 from .scoring import FORECAST_SQL, market_forecasts, rounded
@@ -32,23 +32,22 @@ def journal(t: Tables) -> DataFrame:
     rows = t.matches.withColumns({
         "issue": issue, "odds": 1.5 + (F.col("match_id") % 50) / 10.0, "stake_pct": 0.005 + 0.001 * (F.col("match_id") % 40),
     })
-    snaps = J.latest_snapshot(t.book_odds).select(
-        *J.FIXTURE, F.struct(F.col("s_home").alias("home"), F.col("s_draw").alias("draw"), F.col("s_away").alias("away")).alias("provisional")
-    )
+    prices = F.struct(F.col("s_home").alias("home"), F.col("s_draw").alias("draw"), F.col("s_away").alias("away"))
+    snaps = J.snapshot_for(t.matches, J.latest_snapshot(t.book_odds), "match_id").select("match_id", prices.alias("provisional"))
     return rows.select(
         "match_id", *J.FIXTURE, "date", F.array(bet).alias("bets"), closing.alias("closing"),
         F.when(F.col("fthg").isNotNull(), F.concat_ws("-", "fthg", "ftag")).alias("actual_score"),
-    ).join(snaps, list(J.FIXTURE), "left")
+    ).join(snaps, "match_id", "left")
 
 
 def settled_bets(t: Tables) -> DataFrame:
     return S.flat_bets(S.settle_bets(journal(t)), ["match_id", "league", "date"])
 
 
-BETS_SQL = f"""{SNAP_SQL},
+BETS_SQL = f"""{SNAP_SQL},{near_snap_sql('near', 'matches_v', 'match_id')},
 bt AS (SELECT m.match_id, m.league, m.date, ['home', 'draw', 'away'][m.match_id % 3 + 1] AS issue, 1.5 + (m.match_id % 50) / 10.0 AS odds, 0.005 + 0.001 * (m.match_id % 40) AS stake_pct, m.fthg, m.ftag, m.odds_source,
    [m.odds_h, m.odds_d, m.odds_a][m.match_id % 3 + 1] AS close, [s.h, s.d, s.a][m.match_id % 3 + 1] AS snap, CASE WHEN m.fthg > m.ftag THEN 'home' WHEN m.fthg = m.ftag THEN 'draw' WHEN m.fthg < m.ftag THEN 'away' END AS winner
-  FROM matches_v m LEFT JOIN full_snap s ON s.league = m.league AND s.home = m.home AND s.away = m.away),
+  FROM matches_v m LEFT JOIN near s ON s.match_id = m.match_id),
 st AS (SELECT match_id, league, date, issue, odds, stake_pct, CASE WHEN winner IS NULL THEN NULL WHEN issue = winner THEN round(stake_pct * (odds - 1), 6) ELSE round(-stake_pct, 6) END AS realized_pct,
    CASE WHEN winner IS NOT NULL AND odds_source = 'pinnacle_close' THEN round(odds / close - 1, 6) END AS clv_pct,
    CASE WHEN winner IS NULL OR (odds_source = 'pinnacle_close' AND close IS NOT NULL) THEN NULL WHEN close IS NULL THEN 'no_closing_odds' ELSE 'source_not_sharp' END AS clv_skipped,
@@ -105,12 +104,12 @@ def clv_skip_reasons(t: Tables) -> DataFrame:
 
 @query("sync_results", f"""
 WITH {SNAP_SQL},
-j AS (SELECT match_id AS entry_id, league, home, away, CAST(date + INTERVAL '1' DAY * (match_id % 6 - 2) AS DATE) AS date FROM matches_v),
+j AS (SELECT match_id AS entry_id, league, home, away, CAST(date + INTERVAL '1' DAY * (match_id % 6 - 2) AS DATE) AS date FROM matches_v),{near_snap_sql('near', 'j', 'entry_id')},
 due AS (SELECT * FROM j WHERE date < DATE '2001-01-01'),
 c AS (SELECT d.entry_id, m.fthg || '-' || m.ftag AS score, m.odds_source, m.odds_h, date_diff('day', d.date, m.date) AS shift, row_number() OVER (PARTITION BY d.entry_id ORDER BY abs(date_diff('day', d.date, m.date)), m.date, m.match_id) AS rn
   FROM due d JOIN matches_v m ON m.league = d.league AND m.home = d.home AND m.away = d.away AND m.fthg IS NOT NULL AND abs(date_diff('day', d.date, m.date)) <= 2)
 SELECT j.entry_id, c.score AS actual_score, c.shift, CASE WHEN c.odds_h IS NOT NULL THEN c.odds_source END AS closing_source, s.h AS provisional_home, CASE WHEN j.date < DATE '2001-01-01' AND c.score IS NULL THEN 'not_in_results' END AS pending_reason
-FROM j LEFT JOIN c ON c.entry_id = j.entry_id AND c.rn = 1 LEFT JOIN full_snap s ON s.league = j.league AND s.home = j.home AND s.away = j.away
+FROM j LEFT JOIN c ON c.entry_id = j.entry_id AND c.rn = 1 LEFT JOIN near s ON s.entry_id = j.entry_id
 """)
 def sync_results(t: Tables) -> DataFrame:
     """Past entries meet their results within two days; the rest say why they wait.
@@ -167,8 +166,9 @@ def freshness_table(t: Tables) -> DataFrame:
 WITH {BUCKET_SQL}, ga AS (SELECT * FROM bkm WHERE bucket = 'stale'), gb AS (SELECT * FROM bkm WHERE bucket = 'fresh'),
 {ranked_sql('ba', 'ga', 'b_freq, b_market')},{ranked_sql('bb', 'gb', 'b_freq, b_market')},{draws_sql('ma', 'ba', ['b_freq', 'b_market'], SEED)},{draws_sql('mb', 'bb', ['b_freq', 'b_market'], SEED + 1)},
 d AS (SELECT (ma.b_freq - ma.b_market) / ma.b_market * 100 - (mb.b_freq - mb.b_market) / mb.b_market * 100 AS v FROM ma JOIN mb USING (b)), q AS (SELECT quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM d),
-p AS (SELECT least((SELECT count(*) FROM ga), (SELECT count(*) FROM gb)) AS n, (SELECT (avg(b_freq) - avg(b_market)) / avg(b_market) * 100 FROM ga) - (SELECT (avg(b_freq) - avg(b_market)) / avg(b_market) * 100 FROM gb) AS point)
-SELECT n, round(point, 6) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi, lo > 0 OR hi < 0 AS excludes_zero, point > 3 AND (lo > 0 OR hi < 0) AS alert FROM p, q
+g AS (SELECT bucket, CASE WHEN count(*) >= 15 AND count(b_market) >= 15 THEN (avg(b_freq) - avg(b_market)) * 100 / avg(b_market) END AS gap FROM bk GROUP BY bucket),
+p AS (SELECT least((SELECT count(*) FROM ga), (SELECT count(*) FROM gb)) AS n, (SELECT gap FROM g WHERE bucket = 'stale') - (SELECT gap FROM g WHERE bucket = 'fresh') AS point)
+SELECT n, round(point, 6) AS point, CASE WHEN point IS NOT NULL THEN round(lo, 6) END AS lo, CASE WHEN point IS NOT NULL THEN round(hi, 6) END AS hi, CASE WHEN point IS NOT NULL THEN lo > 0 OR hi < 0 END AS excludes_zero, CASE WHEN point IS NOT NULL THEN point > 3 AND (lo > 0 OR hi < 0) END AS alert FROM p, q
 """)
 def stale_alert(t: Tables) -> DataFrame:
     return rounded(S.stale_alert(entries(t), "match_id", resamples=B), "point", "lo", "hi")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
+from ..operators.joins import MEETING
 from ..streaming import streams as S
 from ..views import Tables
 from .joining import SNAP_SQL
@@ -30,17 +31,15 @@ def stream_quote_dedup(t: Tables) -> DataFrame:
     return rows.select(F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), "league", "home", "away", "book", "market", "outcome", "point", F.lit(True).alias("seen"))
 
 
-@query("stream_latest_snapshot", f"WITH {SNAP_SQL} SELECT league, home, away, fetched_at, h AS home_odds, d AS draw_odds, a AS away_odds FROM full_snap")
+@query("stream_latest_snapshot", f"WITH {SNAP_SQL} SELECT league, home, away, commence_date, fetched_at, h AS home_odds, d AS draw_odds, a AS away_odds FROM full_snap")
 def stream_latest_snapshot(t: Tables) -> DataFrame:
-    """Latest complete snapshot per fixture, maintained batch by batch."""
+    """Latest complete snapshot per meeting, maintained batch by batch."""
     path = _quote_files(t)
     quotes = S.read_quotes(t.spark, path, t.spark.read.parquet(path).schema, files_per_batch=3)
     folder = scratch_folder(t.spark, "latest")
-    done = S.maintain_latest(quotes, folder, scratch_folder(t.spark, "latest-log"))
-    done.awaitTermination()
-    last = done.lastProgress["batchId"]
-    rows = S.complete_only(t.spark.read.parquet(f"{folder}/v{last}"))
-    return rows.select("league", "home", "away", "fetched_at", F.col("s_home").alias("home_odds"), F.col("s_draw").alias("draw_odds"), F.col("s_away").alias("away_odds"))
+    S.maintain_latest(quotes, folder, scratch_folder(t.spark, "latest-log")).awaitTermination()
+    rows = S.complete_only(S.current(t.spark, folder))
+    return rows.select(*MEETING, "fetched_at", F.col("s_home").alias("home_odds"), F.col("s_draw").alias("draw_odds"), F.col("s_away").alias("away_odds"))
 
 
 @query("stream_ratings", "SELECT match_id, TRUE AS same FROM matches_v WHERE fthg IS NOT NULL")

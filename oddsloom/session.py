@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(app: str = "oddsloom", cores: str | None = None) -> SparkSession:
@@ -29,12 +29,18 @@ def local_session(app: str = "oddsloom", cores: str | None = None) -> SparkSessi
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's shared one, or a fresh local one when it is unset."""
+    """Folder for checkpoints and intermediate tables: the shared one that spark.checkpoint.dir names.
+
+    Without it a local session takes a fresh temporary folder; on a cluster that would be another
+    folder on each machine, so there it is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured and not current:
         spark.sparkContext.setCheckpointDir(configured)
     elif not current:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="oddsloom-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -45,17 +51,6 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Broadcast hint, given only when counting shows that ``df`` stays under ``max_rows``.
-
-    ``df`` should be cheap to count (checkpointed or read from files). A larger frame comes back
-    without the hint, so the join falls back to a shuffled one.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 _KEPT: list[DataFrame] = []
 
 
@@ -72,15 +67,6 @@ def release_kept() -> None:
         _KEPT.pop().unpersist()
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Keep ``df`` in memory, count it once, and broadcast it only when it stays small.
-
-    Meant for tables that grow with the calendar or the team list (weeks, strengths, settings).
-    Cached blocks are rebuilt from their plan when an executor goes away.
-    """
-    return broadcast_if_small(keep(df), max_rows)
-
-
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate files, inside the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -95,13 +81,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(max(cores * 3, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
-
-
-def at_least_parallel(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when its files give fewer splits than that.
-
-    One small file is a single split, and everything computed per row would run on one core. A scan
-    with enough splits, the normal case on a cluster, comes back unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

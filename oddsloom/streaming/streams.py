@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..constants import ISSUES, SHARP_BOOK
-from ..operators.joins import FIXTURE
-from ..operators.merge import upsert
+from ..operators.joins import MEETING
 from ..operators.ratings import RATED, advance
 
 WATERMARK = "2 days"
@@ -42,39 +41,49 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str):
 
 
 def snapshot_candidates(quotes: DataFrame, book: str = SHARP_BOOK) -> DataFrame:
-    """Usable head-to-head prices of one book, one row per (fixture, moment) inside a batch."""
+    """Usable head-to-head prices of one book, one row per (meeting, moment) inside a batch."""
     live = quotes.filter(
         (F.col("book") == book) & (F.col("market") == "h2h") & (F.col("fetched_at") <= F.col("commence_time"))
-    )
-    return live.groupBy(*FIXTURE, "fetched_at").agg(
+    ).withColumn("commence_date", F.to_date("commence_time"))
+    return live.groupBy(*MEETING, "fetched_at").agg(
         *[F.min(F.when(F.col("outcome") == i, F.col("price"))).alias(f"s_{i}") for i in ISSUES]
     )
 
 
 def merge_moments(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Newest moment per fixture; prices of the same moment that came in pieces are put together."""
+    """Newest moment per meeting; prices of the same moment that came in pieces are put together."""
     names = [f"s_{i}" for i in ISSUES]
-    both = old.unionByName(new).groupBy(*FIXTURE, "fetched_at").agg(*[F.min(n).alias(n) for n in names])
-    newest = both.groupBy(*FIXTURE).agg(F.max(F.struct("fetched_at", *names)).alias("_s"))
-    return newest.select(*FIXTURE, "_s.*")
+    both = old.unionByName(new).groupBy(*MEETING, "fetched_at").agg(*[F.min(n).alias(n) for n in names])
+    newest = both.groupBy(*MEETING).agg(F.max(F.struct("fetched_at", *names)).alias("_s"))
+    return newest.select(*MEETING, "_s.*")
+
+
+def current(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The table that ``maintain_latest`` keeps: of each bucket the rows of its newest version."""
+    rows = spark.read.parquet(folder)
+    if before is not None:
+        rows = rows.filter(F.col("version") < before)
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))  # a row for each bucket
+    return rows.join(F.broadcast(newest), ["bucket", "version"])
 
 
-def maintain_latest(stream: DataFrame, folder: str, checkpoint: str, book: str = SHARP_BOOK):
-    """Keep the latest snapshot per fixture in versioned tables ``<folder>/v<batch>``.
+def maintain_latest(stream: DataFrame, folder: str, checkpoint: str, book: str = SHARP_BOOK, buckets: int = 64):
+    """Keep the latest snapshot per meeting in ``<folder>/version=<batch>/bucket=<hash>``.
 
-    A batch reads the table of the batch before and writes its own, so a batch that is run again
-    after a failure gives the same table. Only changed fixtures' rows move; readers take the
-    highest version.
+    A batch rewrites only the buckets that its meetings fall into, from their newest version before
+    the batch, so one that is run again after a failure gives the same files. Read with ``current``.
     """
-    spark = stream.sparkSession
-    empty = snapshot_candidates(spark.createDataFrame([], stream.schema), book)
+    empty = snapshot_candidates(stream.sparkSession.createDataFrame([], stream.schema), book)
+    bucket = F.pmod(F.xxhash64(*MEETING), F.lit(buckets)).cast("int").alias("bucket")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        new = snapshot_candidates(batch, book)
-        old = batch.sparkSession.read.parquet(f"{folder}/v{batch_id - 1}") if batch_id > 0 else empty
-        touched = new.select(*FIXTURE).distinct()
-        fresh = merge_moments(old.join(touched, list(FIXTURE), "left_semi"), new)
-        upsert(old, fresh, list(FIXTURE)).write.mode("overwrite").parquet(f"{folder}/v{batch_id}")
+        spark = batch.sparkSession
+        new = snapshot_candidates(batch, book).select("*", bucket)
+        touched = F.broadcast(new.select("bucket").distinct())  # ``buckets`` rows at most
+        old = current(spark, folder, batch_id).drop("version") if batch_id > 0 else empty.select("*", bucket)
+        fresh = merge_moments(old.join(touched, "bucket", "left_semi").drop("bucket"), new.drop("bucket"))
+        out = fresh.select("*", bucket, F.lit(batch_id).alias("version")).repartition("bucket")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(folder)
 
     return (
         stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

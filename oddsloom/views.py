@@ -10,8 +10,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import at_least_parallel
-
 RAW_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -99,7 +97,7 @@ class Tables:
     @cached_property
     def orders(self) -> DataFrame:
         columns = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-        return at_least_parallel(self.raw("orders").select(*columns))
+        return self.raw("orders").select(*columns)
 
     @cached_property
     def matches(self) -> DataFrame:

@@ -151,6 +151,31 @@ def test_newest_incomplete_snapshot_has_no_fallback(spark):
     assert J.latest_snapshot(quotes(spark, full + [("2024-05-02", "pinnacle", "home", 2.9)])).count() == 0
 
 
+def test_snapshot_of_the_same_pairing_in_two_seasons(spark):
+    rows = [(f"{y}-05-0{d}", "pinnacle", o, p) for y, d, p in ((2023, 1, 2.0), (2024, 1, 3.0), (2024, 2, 4.0)) for o in ("home", "draw", "away")]
+    one = quotes(spark, rows)
+    year = F.year("fetched_at")
+    q = one.withColumn("commence_time", F.make_timestamp(year, F.lit(5), F.lit(2), F.lit(15), F.lit(0), F.lit(0)))
+    wanted = spark.createDataFrame(
+        [(1, day("2023-05-02")), (2, day("2024-05-03")), (3, day("2024-05-04")), (4, day("2024-05-01"))], "bet int, date date"
+    ).select("bet", F.lit("E0").alias("league"), F.lit("A").alias("home"), F.lit("B").alias("away"), "date")
+    got = {r["bet"]: (r["s_home"], r["age_days"]) for r in J.snapshot_for(wanted, J.latest_snapshot(q), "bet").collect()}
+    assert got == {1: (2.0, 1), 2: (4.0, 1), 4: (4.0, 0)}
+
+
+def test_no_p_value_without_a_selection(spark):
+    bets = spark.createDataFrame([(i, 0.0, 0.1, 1.0) for i in range(30)], "id int, edge double, movement double, roi double")
+    r = R.permutation_lift(bets, 0.5, 9.0, "id", permutations=20).collect()
+    assert len(r) == 1 and r[0]["p_value"] is None and r[0]["n_effective"] == 0
+
+
+def test_power_rule_on_wide_books(spark):
+    rows = [(499.3, 75.5, 13.9), (1.9, 3.5, 4.2), (1.05, 1.05, 1.05), (1.001, 1.001, 1.001)]
+    fair = [r[0] for r in spark.createDataFrame(rows, "a double, b double, c double").select(O.fair_power(F.array("a", "b", "c"))).collect()]
+    assert all(abs(sum(f) - 1) < 1e-9 for f in fair[:2])
+    assert fair[3] is None or None in fair[3]
+
+
 def test_journal_rerun_keeps_taken_odds(spark):
     schema = "match string, competition string, season int, date date, actual_score string, bets array<struct<odds:double>>, meta struct<exposure_factor:double,correlated_exposure:boolean>, logged_at int"
     old = spark.createDataFrame([("A-B", "E0", 2024, day("2024-05-01"), None, [(2.0,)], (0.5, True), 1)], schema)
