@@ -185,14 +185,14 @@ def longshot_bias(t: Tables) -> DataFrame:
 
 
 @query("document_quality_brier", """
-WITH s AS (SELECT d.lang, l.quality AS y, CASE WHEN d.n_chars >= 5000 THEN NULL ELSE least(0.95, 0.2 + d.n_chars / 8000.0) END AS p
+WITH s AS (SELECT d.lang, l.quality AS y, CASE WHEN d.doc_id % 7 <> 0 THEN least(0.95, 0.2 + d.n_chars / 8000.0) END AS p
   FROM documents d JOIN labels l USING (doc_id))
 SELECT lang, count(p) AS n, round(avg((p - y) ** 2), 6) AS brier, round(avg((0.5 - y) ** 2) FILTER (p IS NOT NULL), 6) AS uniform
 FROM s GROUP BY lang
 """)
 def document_quality_brier(t: Tables) -> DataFrame:
     """Binary Brier on another 0/1 outcome, rows without a probability left out."""
-    p = F.when(F.col("n_chars") >= 5000, None).otherwise(F.least(F.lit(0.95), 0.2 + F.col("n_chars") / 8000.0))
+    p = F.when(F.col("doc_id") % 7 != 0, F.least(F.lit(0.95), 0.2 + F.col("n_chars") / 8000.0))
     rows = t.raw("documents").select("doc_id", "lang", "n_chars").join(t.raw("labels"), "doc_id")
     y = F.col("quality")
     return rounded(
