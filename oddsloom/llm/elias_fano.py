@@ -98,20 +98,21 @@ class EliasFano:
             self.zeros = np.arange(len(self.ones), dtype=np.int64) * (64 * BLOCK) - self.ones
         top = (values >> U(self.width)).astype(np.int64)
         want = values & U((1 << self.width) - 1)
-        bit = np.zeros(len(values), np.int64)  # where the values with this high part begin
+        # the values with this high part lie between two unset bits; halve what lies between
+        low = np.zeros(len(values), np.int64)
         later = top > 0
-        bit[later] = self._select(top[later] - 1, self.zeros, ALL) + 1
-        place = bit - top
-        active = np.arange(len(values))
+        low[later] = self._select(top[later] - 1, self.zeros, ALL) + 1 - top[later]
+        high = self._select(top, self.zeros, ALL) - top
+        active = np.flatnonzero(low < high)
         while len(active):
-            at = bit[active]
-            here = (self.high[at >> 6] >> (at & 63).astype(U) & ONE).astype(bool)
-            active = active[here]
-            less = self.lows(place[active]) < want[active]
-            active = active[less]
-            place[active] += 1
-            bit[active] += 1
-        return place
+            a, b = low[active], high[active]
+            middle = (a + b) >> 1
+            less = self.lows(middle) < want[active]
+            a = np.where(less, middle + 1, a)
+            b = np.where(less, b, middle)
+            low[active], high[active] = a, b
+            active = active[a < b]
+        return low
 
     def index(self, values: np.ndarray) -> np.ndarray:
         """Places of ``values``, -1 where the sequence does not hold them."""
