@@ -185,3 +185,22 @@ def monthly_metrics(df: DataFrame) -> DataFrame:
         )
         .withColumn("month", F.coalesce("month", F.lit("all")))
     )
+
+
+def promoted_split(rows: DataFrame, promoted: DataFrame) -> DataFrame:
+    """Scores of the matches with a newly promoted team against the others.
+
+    ``rows``: league, season, home, away, score, reference (NULL without a market). ``promoted``:
+    league, season, team. The gap in % is taken over rows with both scores.
+    """
+    out = rows
+    for side in ("home", "away"):
+        new = promoted.select("league", "season", F.col("team").alias(side), F.lit(True).alias(f"_{side}"))
+        out = out.join(new, ["league", "season", side], "left")
+    flag = F.coalesce("_home", F.lit(False)) | F.coalesce("_away", F.lit(False))
+    quoted = F.col("reference").isNotNull()
+    paired = F.avg(F.when(quoted, F.col("score")))
+    return out.groupBy(flag.alias("promoted")).agg(
+        F.count("*").alias("n"), F.avg("score").alias("brier"), F.avg("reference").alias("brier_market"),
+        F.try_divide((paired - F.avg("reference")) * 100.0, F.avg("reference")).alias("gap_pct"),
+    )

@@ -138,15 +138,25 @@ def opening_lookup_misses(t: Tables) -> DataFrame:
     )
 
 
-@query("promoted_teams", """
-WITH squads AS (SELECT DISTINCT league, season, unnest([home, away]) AS team FROM matches_v WHERE fthg = 3 AND ftag = 3),
-pairs AS (SELECT league, season, lag(season) OVER (PARTITION BY league ORDER BY season) AS prev FROM (SELECT DISTINCT league, season FROM squads))
-SELECT s.league, s.season, s.team FROM squads s JOIN pairs p USING (league, season) WHERE p.prev IS NOT NULL
-AND NOT EXISTS (SELECT 1 FROM squads b WHERE b.league = s.league AND b.season = p.prev AND b.team = s.team)
-""")
+# every team of the views plays every season: let each sit out one season in seven
+SQUAD_SQL = """
+sq AS (SELECT * FROM matches_v WHERE (CAST(split_part(home, '-T', 2) AS INT) + season) % 7 <> 0 AND (CAST(split_part(away, '-T', 2) AS INT) + season) % 7 <> 0),
+squads AS (SELECT DISTINCT league, season, unnest([home, away]) AS team FROM sq),
+pairs_of AS (SELECT league, season, lag(season) OVER (PARTITION BY league ORDER BY season) AS prev FROM (SELECT DISTINCT league, season FROM squads)),
+promoted AS (SELECT s.league, s.season, s.team FROM squads s JOIN pairs_of p USING (league, season) WHERE p.prev IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM squads b WHERE b.league = s.league AND b.season = p.prev AND b.team = s.team))
+"""
+
+
+def squad_matches(t: Tables) -> DataFrame:
+    plays = lambda side: (F.split_part(side, F.lit("-T"), F.lit(2)).cast("int") + F.col("season")) % 7 != 0
+    return t.matches.filter(plays(F.col("home")) & plays(F.col("away")))
+
+
+@query("promoted_teams", f"WITH {SQUAD_SQL} SELECT league, season, team FROM promoted")
 def promoted_teams(t: Tables) -> DataFrame:
-    """Newcomers among the teams seen in 3-3 draws (all 60 teams play every year)."""
-    return J.promoted(t.matches.filter("fthg = 3 AND ftag = 3"))
+    """Newcomers against the season before, each team sitting out one season in seven."""
+    return J.promoted(squad_matches(t))
 
 
 @query("stacking_left_join", """

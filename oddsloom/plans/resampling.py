@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..constants import PERMUTATIONS, RESAMPLES, SEED
 from ..functions.mixing import MASK, finalise_sql, mix_sql
 from ..functions.outcomes import brier, outcome_index
+from ..operators import joins as J
+from ..operators import metrics as M
 from ..operators import resample as R
 from ..operators.resample import BLOCK_ROWS, STEPS
 from ..views import Tables
+from .joining import SQUAD_SQL, squad_matches
 from .registry import query
 from .scoring import FORECAST_SQL, market_forecasts, rounded
 
@@ -183,3 +186,17 @@ def median_split(t: Tables) -> DataFrame:
     rows = t.played.select("match_id", (1.0 / (F.col("open_h") + 0.1)).alias("x"), "fthg")
     split = R.median_split(rows, "x", "match_id", F.floor(F.col("x") * 4096))
     return rounded(split.groupBy("half").agg(F.count("*").alias("n"), F.max("median").alias("median"), F.avg("fthg").alias("goals")), "median", "goals")
+
+
+@query("promoted_brier_split", f"""
+WITH {SQUAD_SQL}, {PAIRS},
+r AS (SELECT p.b_freq, p.b_market, EXISTS (SELECT 1 FROM promoted x WHERE x.league = m.league AND x.season = m.season AND x.team IN (m.home, m.away)) AS promoted
+  FROM pairs p JOIN matches_v m USING (match_id))
+SELECT promoted, count(*) AS n, round(avg(b_freq), 6) AS brier, round(avg(b_market), 6) AS brier_market,
+  round((avg(b_freq) FILTER (b_market IS NOT NULL) - avg(b_market)) * 100 / avg(b_market), 6) AS gap_pct FROM r GROUP BY promoted
+""")
+def promoted_brier_split(t: Tables) -> DataFrame:
+    """Frequency forecast against the market where a promoted team plays, and elsewhere."""
+    teams = t.matches.select("match_id", "season", "home", "away")
+    rows = scored_pairs(t).select("match_id", "league", F.col("b_freq").alias("score"), F.col("b_market").alias("reference")).join(teams, "match_id")
+    return rounded(M.promoted_split(rows, J.promoted(squad_matches(t))), "brier", "brier_market", "gap_pct")
