@@ -16,7 +16,7 @@ import numpy as np
 from .storage import file_system, local_path
 
 U = np.uint64
-BLOCK = 8  # words of a directory block
+BLOCK = 2  # words of a directory block
 ONE, ALL = U(1), U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -92,17 +92,28 @@ class EliasFano:
         top = (self._select(i, self.ones, U(0)) - i).astype(U)
         return top << U(self.width) | self.lows(i)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The first place of the least value that is not below each of ``values`` (n if there is none)."""
+    def _bucket(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places [low, high) of the values with high part ``top``: a run of set bits between two unset ones."""
         if self.zeros is None:
             self.zeros = np.arange(len(self.ones), dtype=np.int64) * (64 * BLOCK) - self.ones
-        top = (values >> U(self.width)).astype(np.int64)
-        want = values & U((1 << self.width) - 1)
-        # the values with this high part lie between two unset bits; halve what lies between
-        low = np.zeros(len(values), np.int64)
+        top = np.minimum(top, self.zeros[-1] - 1)  # beyond the last value there is nothing
+        bit = np.zeros(len(top), np.int64)
         later = top > 0
-        low[later] = self._select(top[later] - 1, self.zeros, ALL) + 1 - top[later]
-        high = self._select(top, self.zeros, ALL) - top
+        bit[later] = self._select(top[later] - 1, self.zeros, ALL) + 1
+        low = bit - top
+        shift = bit & 63
+        rest = self.high[bit >> 6] >> shift.astype(U)
+        run = np.bitwise_count(rest & ~(rest + ONE)).astype(np.int64)
+        high = low + run
+        long = np.flatnonzero(run + shift >= 64)  # goes on in the next word
+        high[long] = self._select(top[long], self.zeros, ALL) - top[long]
+        return low, high
+
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each value the first place with its high part and no smaller low part, the end of its bucket and its low part."""
+        want = values & U((1 << self.width) - 1)
+        low, end = self._bucket((values >> U(self.width)).astype(np.int64))
+        high = end.copy()
         active = np.flatnonzero(low < high)
         while len(active):
             a, b = low[active], high[active]
@@ -112,14 +123,19 @@ class EliasFano:
             b = np.where(less, b, middle)
             low[active], high[active] = a, b
             active = active[a < b]
-        return low
+        return low, end, want
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The first place of the least value that is not below each of ``values`` (n if there is none)."""
+        return self._search(values)[0]
 
     def index(self, values: np.ndarray) -> np.ndarray:
         """Places of ``values``, -1 where the sequence does not hold them."""
-        at = self.find(values)
-        inside = at < self.n
+        at, end, want = self._search(values)
         found = np.full(len(values), -1, np.int64)
-        found[inside] = np.where(self.access(at[inside]) == values[inside], at[inside], -1)
+        inside = np.flatnonzero(at < end)
+        hit = inside[self.lows(at[inside]) == want[inside]]
+        found[hit] = at[hit]
         return found
 
     def arrays(self, name: str) -> dict:

@@ -15,8 +15,8 @@
 Hot keys: lists are pre-aggregated and met by joins that Spark can split; sets of a hub's partners are dealt out in
 salted parts of ``PART``. Copies within a class cost one row each.
 
-Null or empty text: size 0, linked with nothing. Null doc_id: counted in its class, never the component's name; its
-component_id is null where the class has no other. Rows repeating a doc_id are documents of their own. Empty table:
+Null or empty text: size 0, linked with nothing. Null doc_id: in the component of a row with an equal set that has a
+doc_id, else without one (component_id null); it links no others. Rows repeating a doc_id are documents of their own. Empty table:
 no rows. Other columns are not read.
 """
 
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,20 @@ def node_of(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
+def packed(found: np.ndarray) -> bytes:
+    """A set to be sent: the leading 48 bits of its rising hashes, as compressed byte planes of their steps."""
+    steps = np.diff(found >> np.uint64(16), prepend=np.uint64(0)).astype("<u8")
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6].T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(6, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :6] = planes.T
+    return np.cumsum(steps.view("<u8").reshape(-1))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -181,7 +196,7 @@ def verify(pairs: DataFrame, sets: DataFrame, ranges: DataFrame, percent: int) -
         for batch in batches:
             links = []
             for a, b, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                have = np.frombuffer(found.as_buffer(), "<u8")
+                have = unpacked(found.as_py())
                 if b is None:
                     owner, own = a, have
                     continue
@@ -201,16 +216,18 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     rows = _texts(docs).join(wanted, "doc_id").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # a row that is repeated gives its set once
         for batch in batches:
             nodes, sets = [], []
             for node, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k)):
-                if len(found) and node_of(found) == node:  # a doc_id may stand for two texts
+                if len(found) and node not in seen and node_of(found) == node:  # a doc_id may stand for two texts
+                    seen.add(node)
                     nodes.append(node)
-                    sets.append(found.astype("<u8").tobytes())
+                    sets.append(packed(found))
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "found"])
 
-    return settled(rows.mapInArrow(run, "node long, found binary").dropDuplicates(["node"]), "sets")
+    return settled(rows.mapInArrow(run, "node long, found binary"), "sets")
 
 
 def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int = 22) -> DataFrame:
@@ -220,17 +237,17 @@ def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bit
     classes = prefixes(docs, k, percent, sketch_bits, rarity(counted, sketch_bits))
     ranges = classes.select("node", "n", "ranges")
     entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = settled(entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
     lists = settled(entries.join(shared, "token"), "lists")
-    weight = lists.groupBy("node").agg(F.sum("c").alias("weight"))
+    first = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
+    weight = settled(lists.groupBy("node").agg(F.sum("c").alias("weight")).join(first, "node"), "weights")
     lists = settled(lists.join(weight, "node").select(F.col("token").alias("key"), "node", "weight", "n", "pos"), "lists")
-    first = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = wanted_sets(docs, first.join(weight.select("node"), "node").filter("doc_id is not null"), k)
+    sets = wanted_sets(docs, weight.select("doc_id", "node"), k)
     label = connect(lists, _fits(percent), lambda pairs: verify(pairs, sets, ranges, percent))
 
     named = rows.join(label, "node", "left").withColumn("part", F.coalesce("component", "node"))
     named = settled(named.select("doc_id", "n", "part"), "named")
-    smallest = named.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
+    smallest = settled(named.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("least")), "smallest")
     return named.join(smallest, "part", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 

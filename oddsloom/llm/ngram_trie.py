@@ -209,11 +209,9 @@ def find_pairs(file: dict, u: np.ndarray, w: np.ndarray) -> np.ndarray:
     later = start > 0
     base[later] = runs.access(start[later] - 1) + U(1)
     some = (end > start)[which]
-    value = base[which[some]] + w[some].astype(U)
-    top = runs.access(end[which[some]] - 1)  # the run's last value
-    place = np.full(int(some.sum()), -1, np.int64)
-    may = value <= top
-    place[may] = runs.index(value[may])
+    place = runs.index(base[which[some]] + w[some].astype(U))
+    own = (place >= start[which[some]]) & (place < end[which[some]])  # else it belongs to a later run
+    place[~own] = -1
     found[inside[some]] = place
     return found
 

@@ -63,7 +63,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-@query("op8_warc_seekable_bundles")
+@query("op8_warc_seekable_bundles", oracle="""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+    k AS (SELECT h, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY h)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+      CASE WHEN keep IS NULL OR keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN keep <> page_id THEN keep END AS refers_to
+    FROM p LEFT JOIN k ON k.h = p.h AND n >= 1000
+""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WARC records written to seekable Zstandard bundles and read back through their index."""
     records = warc.round_trip(spark, table(spark, sf_dir, "pages"))
@@ -77,7 +84,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", packing.digest(F.col("ids")).alias("ids_crc32"))
 
 
-@query("op3_prefix_jaccard_join")
+@query("op3_prefix_jaccard_join", oracle="""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+    SELECT r.node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node
+""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their four-word shingles."""
     return jaccard_join.linked_components(table(spark, sf_dir, "documents"), k=4, percent=85)

@@ -170,6 +170,13 @@ def test_jaccard_join(docs, k, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(texts_of(docs), k, percent)
 
 
+def test_jaccard_join_without_doc_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words, "x"])), (5, " ".join([*words, "y"])), (6, " ".join([*words, "y"])), (None, " ".join([*words, "y"]))]
+    found = jaccard_join.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, sketch_bits=16).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter({(None, None): 2, (5, 5): 1, (6, 5): 1, (None, 5): 1})
+
+
 def test_jaccard_join_chain_and_clique(spark):
     """A chain of texts that each link with the next alone, and near copies of one text."""
     words = [f"w{i}" for i in range(400)]
