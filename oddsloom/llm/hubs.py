@@ -18,6 +18,7 @@ from .components import components
 from .storage import settled
 
 STARS = 2
+Fits = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
 def open_lists(lists: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -30,15 +31,27 @@ def open_lists(lists: DataFrame, label: DataFrame | None) -> DataFrame:
     return rows.join(settled(several, "open-lists"), "key")
 
 
+def all_pairs(now: DataFrame, own: list[str], fits: Fits) -> DataFrame:
+    """Pairs of a list whose components differ."""
+    x, y = (now.select("key", F.struct("node", "comp", *own).alias(side)) for side in ("x", "y"))
+    near = x.join(y, "key").filter("x.node < y.node and x.comp <> y.comp")
+    near = near.filter(fits(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+    return near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def connect(
     lists: DataFrame,
-    fits: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
+    fits: Fits,
     verify: Callable[[DataFrame], DataFrame],
+    refine: Callable[[DataFrame], tuple[DataFrame, Fits]] | None = None,
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """(node, component) of all linked nodes. ``lists``: key, node, weight (longs) and the columns that ``fits`` asks
-    of two entries before a pair is tested; ``verify`` gives those of its pairs (a, b) that link."""
+    of two entries before a pair is tested; ``verify`` gives those of its pairs (a, b) that link. ``refine`` makes
+    other lists, and their test, of the entries that the hubs leave open; without it all their pairs are tested.
+    ``links`` are known beforehand."""
     own = [c for c in lists.columns if c not in ("key", "node", "weight")]
-    links = label = None
+    label = None if links is None else settled(components(links), "labels")
     for turn in range(STARS + 1):
         now = open_lists(lists, label)
         if turn < STARS:
@@ -50,13 +63,13 @@ def connect(
             pairs = near.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
         else:
             now = settled(now, "lists")
-            x, y = (now.select("key", F.struct("node", "comp", *own).alias(side)) for side in ("x", "y"))
-            near = x.join(y, "key").filter("x.node < y.node and x.comp <> y.comp")
-            near = near.filter(fits(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-            pairs = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        if turn and now.isEmpty():
-            break
+            if now.isEmpty():
+                break
+            if refine is not None:
+                return connect(*refine(now), verify, links=links)
+            pairs = all_pairs(now, own, fits)
         found = verify(pairs)
-        links = found if links is None else links.unionByName(found)
-        label = settled(components(links), "labels")
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            label = settled(components(links), "labels")
     return label

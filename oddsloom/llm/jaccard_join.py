@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hubs import connect
-from .storage import settled
+from .storage import passing_tables, settled
 from .words import find_words, short_hash, shingle_hashes, word_hashes
 
 SLICE = 1 << 16  # cells of the count table sent in one row
@@ -165,14 +165,15 @@ def _enough(na: Column, nb: Column, percent: int) -> Column:
     return (na + nb) * percent
 
 
-def _fits(percent: int):
+def prefixes_meet(percent: int):
     """Length and positional filter of two entries of a shared token."""
 
     def test(x, y) -> Column:
         nx, ny = x("n"), y("n")
         length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-        room = F.least(x("pos"), y("pos")) + F.least(nx - x("pos"), ny - y("pos"))
-        return length & (room * (100 + percent) >= _enough(nx, ny, percent))
+        # sets with this overlap share a token that leaves room for it in both: the prefixes for this very pair
+        overlap = F.ceil(_enough(nx, ny, percent) / (100 + percent))
+        return length & (x("pos") <= nx - overlap) & (y("pos") <= ny - overlap)
 
     return test
 
@@ -232,22 +233,23 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int = 22) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    counted = members(docs, k, sketch_bits)
-    rows = counted.filter("slice is null").select("doc_id", "n", "node")
-    classes = prefixes(docs, k, percent, sketch_bits, rarity(counted, sketch_bits))
-    ranges = classes.select("node", "n", "ranges")
-    entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = settled(entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
-    lists = settled(entries.join(shared, "token"), "lists")
-    first = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
-    weight = settled(lists.groupBy("node").agg(F.sum("c").alias("weight")).join(first, "node"), "weights")
-    lists = settled(lists.join(weight, "node").select(F.col("token").alias("key"), "node", "weight", "n", "pos"), "lists")
-    sets = wanted_sets(docs, weight.select("doc_id", "node"), k)
-    label = connect(lists, _fits(percent), lambda pairs: verify(pairs, sets, ranges, percent))
-
-    named = rows.join(label, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    named = settled(named.select("doc_id", "n", "part"), "named")
-    smallest = settled(named.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("least")), "smallest")
+    with passing_tables():
+        counted = members(docs, k, sketch_bits)
+        rows = counted.filter("slice is null").select("doc_id", "n", "node")
+        classes = prefixes(docs, k, percent, sketch_bits, rarity(counted, sketch_bits))
+        ranges = classes.select("node", "n", "ranges")
+        entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+        shared = settled(entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
+        lists = settled(entries.join(shared, "token"), "lists")
+        first = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
+        weight = settled(lists.groupBy("node").agg(F.sum("c").alias("weight")).join(first, "node"), "weights")
+        lists = settled(lists.join(weight, "node").select(F.col("token").alias("key"), "node", "weight", "n", "pos"), "lists")
+        sets = wanted_sets(docs, weight.select("doc_id", "node"), k)
+        label = connect(lists, prefixes_meet(percent), lambda pairs: verify(pairs, sets, ranges, percent))
+
+        named = rows.join(label, "node", "left").withColumn("part", F.coalesce("component", "node"))
+        named = settled(named.select("doc_id", "n", "part"), "named", stays=True)
+        smallest = settled(named.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("least")), "smallest", stays=True)
     return named.join(smallest, "part", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 

@@ -7,6 +7,8 @@ tasks through pyarrow's file systems, so the folder may be local to all, HDFS or
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +21,27 @@ def folder(spark: SparkSession, name: str) -> str:
     return scratch_folder(spark, name)
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables() -> Iterator[None]:
+    """Tables settled inside are deleted at the end, but those that a result is read from (``stays``)."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            fs, place = file_system(path)
+            fs.delete_dir(place)
+
+
+def settled(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there and lost executors lose none of it."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
+    if _passing and not stays:
+        _passing[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
