@@ -2,7 +2,7 @@
 
 1. One pass over the texts gives each document the size of its set and a digest of it, and counts shingles by cells
    of a table of ``2 ** sketch_bits`` cells. Documents with equal sets form one class from here on.
-2. The counts, as one byte a cell (a fixed 4 MB, whatever the input), order all shingles rare first. A second pass
+2. The counts, as one byte a cell (a fixed 16 MB, whatever the input), order all shingles rare first. A second pass
    takes each class's prefix: two sets with Jaccard of ``percent`` or more share a shingle in the first
    n - ceil(percent n / 100) + 1 of either. Any order gives the same links; a rare-first one gives short lists.
 3. Classes meet on the shingles of their prefixes. A pair must pass the length filter, the positional filter (the
@@ -83,22 +83,22 @@ def members(docs: DataFrame, k: int, sketch_bits: int) -> DataFrame:
     shift, cells = np.uint64(64 - sketch_bits), 1 << sketch_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(cells, np.int32)
+        counts = np.zeros(cells, np.uint16)
         for batch in batches:
             sizes, nodes, parts = [], [], []
             for found in shingle_sets(batch.column(1), k):
                 sizes.append(len(found))
                 nodes.append(node_of(found) if len(found) else None)
                 parts.append((found >> shift).astype(np.uint32))
-            cell, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, int), 0)
-            counts[cell] += n
+            cell, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, int), np.zeros(0, int))
+            counts[cell] = np.minimum(counts[cell] + n.astype(np.int64), 65535)
             empty = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())],
                 ["doc_id", "n", "node", "slice", "counts"])
         for s in range(0, cells, SLICE):
             if counts[s : s + SLICE].any():
-                few = np.minimum(counts[s : s + SLICE], 65535).astype("<u2")
+                few = counts[s : s + SLICE].astype("<u2")
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([s // SLICE], pa.int32()), pa.array([zlib.compress(few.tobytes(), 1)], pa.binary())],
                     ["doc_id", "n", "node", "slice", "counts"])
@@ -121,10 +121,11 @@ def rarity(counted: DataFrame, sketch_bits: int) -> np.ndarray:
 
     rows = counted.filter("slice is not null").select("slice", "counts")
     once = rows.withColumn("salt", F.spark_partition_id() % 8).repartition("slice", "salt").drop("salt").mapInArrow(add, "slice int, counts binary")
-    total = np.zeros(1 << sketch_bits, np.int64)
+    rank = np.zeros(1 << sketch_bits, np.uint8)
     for row in once.repartition("slice").mapInArrow(add, "slice int, counts binary").collect():  # 2 ** sketch_bits numbers
-        total[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
-    return np.minimum(4 * np.log2(total + 1), 255).astype(np.uint8)
+        total = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
+        rank[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.minimum(4 * np.log2(total + 1), 255)
+    return rank
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -231,7 +232,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return settled(rows.mapInArrow(run, "node long, found binary"), "sets")
 
 
-def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int = 22) -> DataFrame:
+def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int = 24) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     with passing_tables():
         counted = members(docs, k, sketch_bits)
@@ -254,7 +255,7 @@ def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bit
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = 22) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = 24) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component; all rows without a doc_id stay."""
     kept = linked_components(docs, k, percent, sketch_bits).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.select(F.struct("*").alias("doc"))
