@@ -34,8 +34,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of binary length with their token ids."""
-    return packing.pack(docs, context=1024)
+    """Pieces of binary length with their token ids; sequence_id rises in the order of the mix."""
+    return packing.pack(mixing.numbered(docs), context=1024, place="place")
 
 
 STAGES = [

@@ -133,3 +133,17 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all of them, in the order of the mix."""
     rows = mix(docs, **options)
     return rows.repartitionByRange("slot", "before").sortWithinPartitions("slot", "before").select("doc.*")
+
+
+def numbered(written: DataFrame) -> DataFrame:
+    """The rows of a Parquet table that ``mixed`` was written to, with ``place``: the row's number in the mix, from 0.
+
+    A reader may take files in any order; their names hold the number of the range partition, and rows keep their
+    order within a file. Rows of a file are counted from its footer, and the counts of the files before are broadcast.
+    """
+    rows = written.select(F.struct("*").alias("doc"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    earlier = Window.partitionBy(F.lit(0)).orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    files = rows.groupBy("file").agg(F.count("*").alias("rows"))
+    files = files.select("file", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    return rows.join(F.broadcast(files), "file").select("doc.*", (F.col("start") + F.col("row")).alias("place"))

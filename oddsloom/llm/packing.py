@@ -8,6 +8,9 @@ padding. A training batch is drawn from one bucket, with as many sequences as it
 Every piece comes from its document's row alone, so the job is one pass without a shuffle, and a lost task is redone
 from its file split.
 
+``sequence_id`` is unique. With ``place``, a column of different numbers from 0 on, it rises with the place and, within a document,
+with the start: the place in the high bits, the piece's number in as many low bits as the longest string needs.
+
 Null or empty text: the document is its end id alone, one piece of length 1. Null doc_id: kept. Repeated rows: each
 row is a document of its own with its own sequences. Empty table: no pieces. Other columns are not read.
 """
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .tokens import default_vocabulary, encoded
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, ordered long"
 ROWS = 4096  # pieces sent at a time
 
 
@@ -34,20 +37,27 @@ def binary_lengths(n: int, context: int) -> list[int]:
     return [context] * (n // context) + bits
 
 
-def pack(docs: DataFrame, context: int = 1024, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
+def piece_bits(context: int) -> int:
+    """Bits that number the pieces of any document: a string has fewer than 2^31 tokens."""
+    return ((1 << 31) // context + context.bit_length()).bit_length()
+
+
+def pack(docs: DataFrame, context: int = 1024, vocabulary: str | None = None, end_id: int = 0, place: str | None = None) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, start, length, doc_tokens, ids (unsigned 32-bit little-endian),
     sequence_id, offset, bucket (the length's power of two), sequence_length."""
     if context < 1 or context & (context - 1):
         raise ValueError("context must be a power of two")
     vocabulary = vocabulary or default_vocabulary()
+    bits = piece_bits(context)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, rows = batch.column(0).to_pylist(), []
+            doc_ids, places, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
             for i, ids in encoded(batch.column(1), vocabulary, end_id):
                 n, start = len(ids) // 4, 0
-                for length in binary_lengths(n, context):
-                    rows.append((doc_ids[i], start, length, n, ids[4 * start : 4 * (start + length)]))
+                first = None if places[i] is None else places[i] << bits
+                for k, length in enumerate(binary_lengths(n, context)):
+                    rows.append((doc_ids[i], start, length, n, ids[4 * start : 4 * (start + length)], None if first is None else first + k))
                     start += length
                 if len(rows) >= ROWS:
                     yield _rows(rows)
@@ -55,10 +65,11 @@ def pack(docs: DataFrame, context: int = 1024, vocabulary: str | None = None, en
             if rows:
                 yield _rows(rows)
 
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    at = (F.lit(None) if place is None else F.col(place)).cast("long").alias("place")
+    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), at).mapInArrow(cut, PIECES)
     return pieces.select(
-        "*",
-        F.monotonically_increasing_id().alias("sequence_id"),
+        "doc_id", "start", "length", "doc_tokens", "ids",
+        (F.monotonically_increasing_id() if place is None else F.col("ordered")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
         F.log2("length").cast("int").alias("bucket"),
         F.col("length").alias("sequence_length"),
@@ -66,8 +77,8 @@ def pack(docs: DataFrame, context: int = 1024, vocabulary: str | None = None, en
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["doc_id", "start", "length", "doc_tokens", "ids"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    names = ["doc_id", "start", "length", "doc_tokens", "ids", "ordered"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
