@@ -1,9 +1,10 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary.
 
-The ids are those that ``Tokenizer.encode(text, add_special_tokens=False)`` gives, special strings in a text being
-ordinary text. The vocabulary's pattern always breaks before a space that is followed by a non-space, and around a
+The ids are those that ``Tokenizer.encode(text, add_special_tokens=False)`` gives; the string of an added token in a text
+is that token. The vocabulary's pattern always breaks before a space that is followed by a non-space, and around a
 single line feed between non-spaces; so a text is cut there, every distinct piece is encoded once and kept, and a
-text is the concatenation of its pieces. Texts with other white space are encoded whole.
+text is the concatenation of its pieces. Texts with other white space
+or with an added token's string are encoded whole.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.kept, self.young, self.old = kept, {}, {}
         self.byte_names = _byte_names()
@@ -83,12 +84,13 @@ class Encoder:
         young.update(zip(new, self._raw([p if p[0] == "\n" else " " + p for p in new])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        special = {i for i, t in enumerate(texts) if any(s in t for s in self.added)}
+        cut = [[] if i in special else ("\n" + t).replace("\n", " \n").split(" ")[1:] for i, t in enumerate(texts)]
         distinct = set().union(*cut)
         if len(self.young) > self.kept:
             self.young, self.old = {}, self.young
         self._learn(distinct.difference(self.young))
-        get, out, whole = self.young.get, [], []
+        get, out, whole = self.young.get, [], sorted(special)
         for i, pieces in enumerate(cut):
             try:
                 out.append(b"".join(map(get, pieces))[4:])  # without the line feed put before
