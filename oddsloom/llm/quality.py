@@ -2,8 +2,9 @@
 
 Every line with a word is judged by itself; a line that fails is taken out of the text. Lines fail as
 
-* boilerplate: script, cookie, policy, licence, login or placeholder phrases (``PHRASES``) in a line without a
-  sentence of its own around them, or braces as of code;
+* boilerplate: script, cookie, policy, licence, login or placeholder phrases (``PHRASES``, whole words, with the words that
+  ``FORMS`` lets go with them) that make up at least ``PHRASE_SHARE`` of the line's letters and digits, or braces as of code: a line with
+  one whose marks of code are at least ``CODE_SHARE`` of its characters;
 * navigation: items separated by bars, bullets or arrows, or a line whose words are mostly links;
 * punctuation: no letter at all, marks making up more than ``mark_share`` of its characters, or a mark that is
   repeated at the end of most of its words;
@@ -32,9 +33,27 @@ from pyspark.sql import functions as F
 PHRASES = (
     "javascript", "cookie policy", "cookies policy", "privacy policy", "terms of use", "terms of service",
     "terms and conditions", "use of cookies", "uses cookies", "use cookies", "accept cookies", "lorem ipsum",
-    "all rights reserved", "click here", "read more", "sign in", "sign up", "log in", "subscribe to", "skip to content",
+    "all rights reserved", "click here", "read more", "sign in", "sign up", "log in", "subscribe to", "skip to content", "skip to main content",
     "back to top", "share this", "powered by", "page not found", "access denied", "copyright",
 )
+# how phrases stand in boilerplate: with the words around them that belong to the notice
+SITE = r"(?:we|(?:this|our|the) (?:web ?)?(?:site|page))"
+LEGAL = r"(?:cookies? policy|privacy policy|terms of (?:use|service)|terms and conditions)"
+YOURS = r"(?: (?:to|for|with) (?:your account|our newsletter|continue|comment|reply|facebook|google))?"
+FORMS = re.compile(r"\b(?:" + "|".join((
+    r"(?:please )?(?:enable|activate|turn on) javascript(?: (?:in|on) your browser)?(?: (?:to|in order to) \w+ (?:this|the|our) \w+)?",
+    rf"{SITE} (?:requires?|uses?|needs?) javascript", r"javascript (?:is|must be|has to be) (?:not |currently )?(?:enabled|disabled|required)(?: in your browser)?",
+    r"(?:your browser|you) (?:does not|do not|doesn't|don't) (?:support|have) javascript(?: enabled)?", "javascript",
+    rf"(?:by \w+ (?:\w+ ){{0,4}}you (?:agree|consent) to |(?:i|you) (?:agree to|accept) |(?:read|see|view) )?(?:(?:our|the) )?{LEGAL}(?:(?: and|,| &| \|) (?:(?:our|the) )?{LEGAL})*",
+    rf"{SITE} uses? cookies(?: (?:to|for) [^.!?]*)?", rf"by \w+ (?:\w+ ){{0,4}}you (?:agree|consent) to (?:our |the )?use of cookies", r"(?:the |our )?use of cookies", r"uses? cookies", r"accept (?:all )?cookies",
+    r"lorem ipsum(?: dolor sit amet)?(?:,? consectetur adipiscing elit)?", r"all rights reserved", r"click here(?: (?:to|for) (?:\w+ ){0,2}\w+)?", r"read more",
+    rf"(?:please )?(?:sign|log) (?:in|up)(?: (?:or|and) (?:register|(?:sign|log) (?:in|up)))?{YOURS}",
+    r"subscribe to (?:our|the|this)(?: \w+)?", r"subscribe to", r"skip to (?:main )?content", r"back to top", r"share this(?: (?:page|post|article|story|entry))?(?: (?:on|via|with) \w+)?",
+    r"(?:proudly )?powered by(?: \w+)?", r"(?:error )?(?:404 )?page not found", r"access denied", r"copyright(?:\W+(?:c\b)?\W*\d{4}(?:\W{1,3}\d{4})?)?(?: by)?",
+)) + r")\b")
+PHRASE_SHARE, CODE_SHARE = 0.5, 0.125
+CODE = "{}()[];:=<>\""
+LETTERS = re.compile(r"\w")
 PHRASE_WORDS = 25  # a longer line with a phrase in it is prose that mentions it
 BARS = re.compile(r"(?<!\S)[|•·»›>→](?!\S)")
 BAR = re.compile("[|•·»›>→]")
@@ -79,6 +98,13 @@ def repeated_words(words: list[bytes], k: int = 5) -> int:
     return covered
 
 
+def _phrase_share(low: str) -> float:
+    """The share of a line's letters and digits that stands in phrases."""
+    low = " ".join(low.split())
+    size = len(LETTERS.findall(low))
+    return sum(len(LETTERS.findall(m)) for m in FORMS.findall(low)) / size if size else 0.0
+
+
 def fault(line: str, earlier: set[str], rules: Rules = Rules()) -> str | None:
     """The rule that a line with a word breaks, or None."""
     words = line.split()
@@ -87,11 +113,11 @@ def fault(line: str, earlier: set[str], rules: Rules = Rules()) -> str | None:
         if line in earlier:
             return "repetition"
         earlier.add(line)
-    if "{" in line:
+    if "{" in line and sum(map(line.count, CODE)) >= CODE_SHARE * sum(map(len, words)):
         return "boilerplate"
     if n <= PHRASE_WORDS:
         low = line.lower()
-        if any(p in low for p in PHRASES):
+        if any(p in low for p in PHRASES) and _phrase_share(low) >= PHRASE_SHARE:
             return "boilerplate"
     bars = len(BARS.findall(line)) if BAR.search(line) else 0
     if bars >= 2 and 3 * bars >= n - bars or n >= 2 and "://" in line and 2 * line.count("://") > n:
