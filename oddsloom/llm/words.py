@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+NO_LETTER = np.zeros(256, bool)  # ASCII other than digits and small letters
+NO_LETTER[:128] = True
+NO_LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -45,11 +48,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def find_words(column: pa.Array, lower: bool = True) -> Words:
+def find_words(column: pa.Array, lower: bool = True, breaks: np.ndarray = SPACE) -> Words:
+    """The words of a batch: runs of bytes that ``breaks`` doesn't mark."""
     data, offsets = text_bytes(column)
     if lower:
         data = LOWER[data]
-    inside = ~SPACE[data]
+    inside = ~breaks[data]
     edge = np.zeros(len(data) + 1, bool)  # a row begins here
     edge[offsets] = True
     begin, end = inside.copy(), inside.copy()
