@@ -15,9 +15,9 @@
 Hot keys: lists are pre-aggregated and met by joins that Spark can split; sets of a hub's partners are dealt out in
 salted parts of ``PART``. Copies within a class cost one row each.
 
-Null or empty text: size 0, linked with nothing. Null doc_id: in the component of a row with an equal set that has a
-doc_id, else without one (component_id null); it links no others. Rows repeating a doc_id are documents of their own. Empty table:
-no rows. Other columns are not read.
+Null or empty text: size 0, linked with nothing. Null doc_id: a document as any other; it joins what it links to, and
+component_id is the smallest doc_id of its component, null where none has one. Rows repeating a doc_id are documents of
+their own. Very long texts are read whole, in runs of rows of a few megabytes. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,27 +32,31 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
 from .hubs import connect
+from .ngram_trie import slices
 from .storage import passing_tables, settled
 from .words import find_words, short_hash, shingle_hashes, word_hashes
 
 SLICE = 1 << 16  # cells of the count table sent in one row
 PART = 512  # partners of a class checked in one go
 RANGES = 32
+TEXT_BYTES = 1 << 21  # of texts worked on at a time
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """For each row the sorted hashes of its distinct shingles."""
-    words = find_words(column)
-    hashes = word_hashes(words)
-    shingles = shingle_hashes(hashes, k)
-    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-        if b - a >= k:
-            yield np.unique(shingles[a : b - k + 1])
-        elif b > a:
-            yield short_hash(hashes[a:b], k)
-        else:
-            yield np.zeros(0, np.uint64)
+    """For each row the sorted hashes of its distinct shingles; a few megabytes of texts are worked on at a time."""
+    for part in slices(column, TEXT_BYTES):
+        words = find_words(part)
+        hashes = word_hashes(words)
+        shingles = shingle_hashes(hashes, k)
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+            if b - a >= k:
+                yield np.unique(shingles[a : b - k + 1])
+            elif b > a:
+                yield short_hash(hashes[a:b], k)
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 def node_of(found: np.ndarray) -> int:
@@ -78,53 +82,71 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+MEMBER_SCHEMA = "doc_id long, n long, node long, mark long, slice int, counts binary"
+
+
+def mark_of(text: Column) -> Column:
+    """Tells texts under one doc_id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def members(docs: DataFrame, k: int, sketch_bits: int) -> DataFrame:
-    """(doc_id, n, node) for every document, and rows (slice, counts) of the count table."""
+    """(doc_id, n, node, mark) for every document, and rows (slice, counts) of the count table."""
     shift, cells = np.uint64(64 - sketch_bits), 1 << sketch_bits
+    names = [c.split()[0] for c in MEMBER_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         counts = np.zeros(cells, np.uint16)
         for batch in batches:
-            sizes, nodes, parts = [], [], []
+            sizes, nodes = [], []
             for found in shingle_sets(batch.column(1), k):
                 sizes.append(len(found))
                 nodes.append(node_of(found) if len(found) else None)
-                parts.append((found >> shift).astype(np.uint32))
-            cell, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, int), np.zeros(0, int))
-            counts[cell] = np.minimum(counts[cell] + n.astype(np.int64), 65535)
+                cell = (found >> shift).astype(np.uint32)  # distinct hashes in one cell count once a text
+                counts[cell] = np.minimum(counts[cell], 65534) + 1
             empty = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())],
-                ["doc_id", "n", "node", "slice", "counts"])
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), batch.column(2), empty.cast(pa.int32()), empty.cast(pa.binary())], names)
         for s in range(0, cells, SLICE):
             if counts[s : s + SLICE].any():
                 few = counts[s : s + SLICE].astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([s // SLICE], pa.int32()), pa.array([zlib.compress(few.tobytes(), 1)], pa.binary())],
-                    ["doc_id", "n", "node", "slice", "counts"])
+                    [*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([s // SLICE], pa.int32()), pa.array([zlib.compress(few.tobytes(), 1)], pa.binary())], names)
 
-    return settled(_texts(docs).mapInArrow(run, "doc_id long, n long, node long, slice int, counts binary"), "shingle-counts")
+    return settled(_texts(docs).withColumn("mark", mark_of(F.col("text"))).mapInArrow(run, MEMBER_SCHEMA), "shingle-counts")
 
 
 def rarity(counted: DataFrame, sketch_bits: int) -> np.ndarray:
     """One byte a cell, larger where more shingles fell. Partial tables are summed as a stream, in two levels."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = zlib.decompress(packed.as_py())
-                part = np.frombuffer(raw, "<u2" if len(raw) == 2 * SLICE else "<i8")
-                sums[s] = sums.get(s, 0) + part.astype(np.int64)
-        for s, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], ["slice", "counts"])
+    def adder(send):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, total = None, np.zeros(SLICE, np.int64)  # slices come one after the other
+
+            def done() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(send(total).tobytes(), 1)], pa.binary())], ["slice", "counts"])
+
+            for batch in batches:
+                for s, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if s != now:
+                        if now is not None:
+                            yield done()
+                        now, total = s, np.zeros(SLICE, np.int64)
+                    raw = zlib.decompress(packed.as_py())
+                    total += np.frombuffer(raw, "<u2" if len(raw) == 2 * SLICE else "<i8")
+            if now is not None:
+                yield done()
+
+        return run
 
     rows = counted.filter("slice is not null").select("slice", "counts")
-    once = rows.withColumn("salt", F.spark_partition_id() % 8).repartition("slice", "salt").drop("salt").mapInArrow(add, "slice int, counts binary")
+    dealt = rows.withColumn("salt", F.spark_partition_id() % 8).repartition("slice", "salt").sortWithinPartitions("slice").drop("salt")
+    once = dealt.mapInArrow(adder(lambda x: x.astype("<i8")), "slice int, counts binary").repartition("slice").sortWithinPartitions("slice")
+    ranked = once.mapInArrow(adder(lambda x: np.minimum(4 * np.log2(x + 1), 255).astype(np.uint8)), "slice int, counts binary")
     rank = np.zeros(1 << sketch_bits, np.uint8)
-    for row in once.repartition("slice").mapInArrow(add, "slice int, counts binary").collect():  # 2 ** sketch_bits numbers
-        total = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
-        rank[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.minimum(4 * np.log2(total + 1), 255)
+    for row in ranked.collect():  # 2 ** sketch_bits bytes
+        rank[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
     return rank
 
 
@@ -138,9 +160,10 @@ def prefixes(docs: DataFrame, k: int, percent: int, sketch_bits: int, rank: np.n
     shift = np.uint64(64 - sketch_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         order, seen = np.frombuffer(sent.value, np.uint8), set()
         for batch in batches:
-            nodes, sizes, tokens, spread = [], [], [], []
+            nodes, sizes, taken, spread = [], [], [], []
             for found in shingle_sets(batch.column(0), k):
                 if not len(found) or (node := node_of(found)) in seen:
                     continue
@@ -149,11 +172,11 @@ def prefixes(docs: DataFrame, k: int, percent: int, sketch_bits: int, rank: np.n
                 p = prefix_size(len(key), percent)
                 nodes.append(node)
                 sizes.append(len(key))
-                tokens.append(np.sort(np.partition(key, p - 1)[:p]).astype(np.int64))
+                taken.append(np.sort(np.partition(key, p - 1)[:p]).astype(np.int64))
                 spread.append(np.bincount((found & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES))
             if nodes:
-                ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))
+                ends = np.concatenate([[0], np.cumsum([len(t) for t in taken])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(taken)))
                 ranges = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * RANGES), pa.array(np.concatenate(spread).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sizes), lists, ranges], ["node", "n", "prefix", "ranges"])
 
@@ -214,50 +237,71 @@ def verify(pairs: DataFrame, sets: DataFrame, ranges: DataFrame, percent: int) -
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, found) for the classes of ``wanted`` (doc_id, node): whole sets from whole texts."""
-    rows = _texts(docs).join(wanted, "doc_id").select("node", "text")
+    """(node, found) for the classes of ``wanted`` (node, doc_id of a row, null where no row has one): whole sets from whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         seen = set()  # a row that is repeated gives its set once
         for batch in batches:
             nodes, sets = [], []
             for node, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k)):
-                if len(found) and node not in seen and node_of(found) == node:  # a doc_id may stand for two texts
-                    seen.add(node)
-                    nodes.append(node)
+                own = node_of(found) if len(found) else None
+                if own is not None and own not in seen and node in (None, own):  # a doc_id may stand for two texts
+                    seen.add(own)
+                    nodes.append(own)
                     sets.append(packed(found))
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "found"])
 
-    return settled(rows.mapInArrow(run, "node long, found binary"), "sets")
+    schema = "node long, found binary"
+    named = _texts(docs).join(wanted.filter("doc_id is not null"), "doc_id").select("node", "text").mapInArrow(run, schema)
+    # rows without a doc_id are found by their sets
+    nameless = _texts(docs).filter("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(run, schema)
+    nameless = nameless.join(wanted.filter("doc_id is null").select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return settled(named.unionByName(nameless), "sets")
+
+
+def _components(docs: DataFrame, k: int, percent: int, sketch_bits: int) -> DataFrame:
+    """One row per document: doc_id, n, mark, part (its component, null for one without words); call inside passing_tables."""
+    counted = members(docs, k, sketch_bits)
+    rows = counted.filter("slice is null").select("doc_id", "n", "node", "mark")
+    classes = prefixes(docs, k, percent, sketch_bits, rarity(counted, sketch_bits))
+    ranges = classes.select("node", "n", "ranges")
+    entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = settled(entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
+    lists = settled(entries.join(shared, "token"), "lists")
+    first = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    weight = settled(lists.groupBy("node").agg(F.sum("c").alias("weight")).join(first, "node"), "weights")
+    lists = settled(lists.join(weight, "node").select(F.col("token").alias("key"), "node", "weight", "n", "pos"), "lists")
+    sets = wanted_sets(docs, weight.select("doc_id", "node"), k)
+    label = connect(lists, prefixes_meet(percent), lambda pairs: verify(pairs, sets, ranges, percent))
+    named = rows.join(label, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    return settled(named.select("doc_id", "n", "mark", "part"), "named", stays=True)
 
 
 def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int = 24) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     with passing_tables():
-        counted = members(docs, k, sketch_bits)
-        rows = counted.filter("slice is null").select("doc_id", "n", "node")
-        classes = prefixes(docs, k, percent, sketch_bits, rarity(counted, sketch_bits))
-        ranges = classes.select("node", "n", "ranges")
-        entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-        shared = settled(entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
-        lists = settled(entries.join(shared, "token"), "lists")
-        first = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
-        weight = settled(lists.groupBy("node").agg(F.sum("c").alias("weight")).join(first, "node"), "weights")
-        lists = settled(lists.join(weight, "node").select(F.col("token").alias("key"), "node", "weight", "n", "pos"), "lists")
-        sets = wanted_sets(docs, weight.select("doc_id", "node"), k)
-        label = connect(lists, prefixes_meet(percent), lambda pairs: verify(pairs, sets, ranges, percent))
-
-        named = rows.join(label, "node", "left").withColumn("part", F.coalesce("component", "node"))
-        named = settled(named.select("doc_id", "n", "part"), "named", stays=True)
+        named = _components(docs, k, percent, sketch_bits)
         smallest = settled(named.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("least")), "smallest", stays=True)
     return named.join(smallest, "part", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = 24) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component; all rows without a doc_id stay."""
-    kept = linked_components(docs, k, percent, sketch_bits).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct("*").alias("doc"))
-    known = rows.filter("doc.doc_id is not null").join(kept, F.col("doc.doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    return known.unionByName(rows.filter("doc.doc_id is null")).select("doc.*")
+    """One row of ``docs`` for each component, that of the smallest doc_id (rows without one come last, ties go by a hash
+    of the text, and of rows alike in both any stays); rows without words all stay."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    with passing_tables():
+        named = _components(docs, k, percent, sketch_bits)
+        rows = named.groupBy("part", "doc_id", "mark").agg(F.count("*").alias("copies"))
+        first = rows.filter("part is not null").groupBy("part").agg(F.min_by(F.struct("doc_id", "mark", "copies"), order).alias("row"))
+        wordless = rows.filter("part is null").select("doc_id", "mark", F.lit(1).cast("long").alias("copies"))
+        kept = settled(first.select("row.*").unionByName(wordless), "kept", stays=True)
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"), "copies")
+    whole = docs.select(F.struct("*").alias("doc"))
+    id_, mark = F.col("doc.doc_id").cast("long"), mark_of(F.col("doc.text"))
+    found = whole.join(kept, id_.eqNullSafe(F.col("kept_id")) & mark.eqNullSafe(F.col("kept_mark")))
+    alone = found.filter("copies = 1").select("doc.*")
+    repeated = found.filter("copies > 1").dropDuplicates(["kept_id", "kept_mark"]).select("doc.*")
+    return alone.unionByName(repeated)

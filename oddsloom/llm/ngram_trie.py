@@ -50,13 +50,13 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, words.first + np.arange(len(words.first))
 
 
-def slices(column: pa.Array) -> Iterator[pa.Array]:
-    """Rows of a batch in runs of about ``ROUND`` tokens' bytes."""
+def slices(column: pa.Array, size: int = 4 * ROUND) -> Iterator[pa.Array]:
+    """Rows of a batch in runs of about ``size`` bytes, those of ``ROUND`` tokens."""
     sizes = np.cumsum(np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]))
     at = 0
     while at < len(column):
         start = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, start + 4 * ROUND)))
+        to = max(at + 1, int(np.searchsorted(sizes, start + size)))
         yield column.slice(at, to - at)
         at = to
 

@@ -102,6 +102,12 @@ class Encoder:
         return out
 
 
+def release() -> None:
+    """Forget the pieces that this worker has encoded: other operators' tasks need the memory."""
+    for enc in _encoders.values():
+        enc.young, enc.old = {}, {}
+
+
 def encoder(vocabulary: str) -> Encoder:
     """The worker's encoder; it outlives a task, so pieces are encoded once in a worker."""
     if vocabulary not in _encoders:

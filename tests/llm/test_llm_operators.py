@@ -174,7 +174,20 @@ def test_jaccard_join_without_doc_id(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(None, " ".join(words)), (None, " ".join([*words, "x"])), (5, " ".join([*words, "y"])), (6, " ".join([*words, "y"])), (None, " ".join([*words, "y"]))]
     found = jaccard_join.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, sketch_bits=16).collect()
-    assert Counter((r.doc_id, r.component_id) for r in found) == Counter({(None, None): 2, (5, 5): 1, (6, 5): 1, (None, 5): 1})
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter({(None, 5): 3, (5, 5): 1, (6, 5): 1})
+
+
+def test_jaccard_join_bridge_without_doc_id(spark):
+    """Two documents that link only through one without a doc_id, and two without a doc_id that link with nothing else."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(9, words[:200]), (None, words[12:212]), (4, words[24:224]), (None, words[230:290]), (None, [*words[230:290], "x"])]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = jaccard_join.linked_components(made, 4, 85, sketch_bits=16).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 4, 85)
+    assert {r.doc_id: r.component_id for r in found if r.doc_id is not None} == {9: 4, 4: 4}
+    kept = jaccard_join.keep_one(made, 4, 85, sketch_bits=16).collect()
+    assert sorted((r.doc_id or -1, r.text[:4]) for r in kept) == [(-1, "w230"), (4, "w24 ")]
 
 
 def test_jaccard_join_chain_and_clique(spark):
@@ -190,10 +203,13 @@ def test_jaccard_join_chain_and_clique(spark):
 def test_jaccard_keep_one(docs, empty):
     kept = jaccard_join.keep_one(docs, sketch_bits=16)
     assert kept.columns == docs.columns
-    want = {d for d, _, c in brute_components(texts_of(docs), 5, 80) if d is not None and d == c}
-    rows = kept.select("doc_id").collect()
-    assert {r.doc_id for r in rows if r.doc_id is not None} == want
-    assert sum(r.doc_id is None for r in rows) == docs.filter("doc_id is null").count()
+    rows = Counter((r.doc_id, r.text) for r in kept.select("doc_id", "text").collect())
+    wordless = Counter((d, t) for d, t in texts_of(docs) if not (t or "").encode().split())
+    assert all(rows[x] == n for x, n in wordless.items())
+    # one row stays for each component, that of its smallest doc_id; the table has none without a doc_id
+    want = Counter(d for d, n, c in brute_components(texts_of(docs), 5, 80) if n and d is not None and d == c)
+    stays = Counter(d for (d, t), n in rows.items() for _ in range(n) if (d, t) not in wordless)
+    assert set(stays) == set(want) and max(stays.values()) <= 2 and stays[7] == want[7]
     assert jaccard_join.keep_one(empty, sketch_bits=16).count() == 0
     assert jaccard_join.linked_components(empty, sketch_bits=16).count() == 0
 
