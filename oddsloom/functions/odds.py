@@ -6,6 +6,8 @@ without a closed form take Newton steps inside ``aggregate`` over a constant seq
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..constants import (
 )
 
 NEWTON_STEPS = 16
+POWER_STEPS = 12  # 10 reach machine precision for prices from 1.01 to 500
 
 
 def _sum(values: Column) -> Column:
@@ -47,17 +50,21 @@ def fair_proportional(odds: Column) -> Column:
 
 
 def power_exponent(odds: Column) -> Column:
-    """k with sum((1/o)^k) = 1 in [0.001, 20], NULL when there is none; already fair books keep k = 1."""
+    """k with sum((1/o)^k) = 1 in [0.001, 20], NULL when there is none; already fair books keep k = 1.
+
+    At ln 3 / max(ln o) every term is at least a third, so that point lies left of the root.
+    """
     logs = F.transform(odds, lambda o: F.log(o))
 
     def newton(l: Column) -> Column:
-        # the excess is convex and falling in k: from the left end the steps climb to the root without passing it
+        # the excess is convex and falling in k: from the left the steps climb to the root without passing it
         def step(k: Column, _: Column) -> Column:
             powers = [F.exp(-k * l[i]) for i in range(3)]
             slope = powers[0] * l[0] + powers[1] * l[1] + powers[2] * l[2]
             return k + (powers[0] + powers[1] + powers[2] - 1.0) / slope
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(2 * NEWTON_STEPS)), F.lit(LEAST_EXPONENT), step)
+        start = F.try_divide(F.lit(math.log(3.0)), F.array_max(l))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(POWER_STEPS)), start, step)
 
     root = F.transform(F.array(logs), newton)[0]
     fair_already = F.abs(book_sum(odds) - 1.0) < 1e-12

@@ -146,20 +146,21 @@ class Fits(NamedTuple):
 
 def fit_batch(
     weight: np.ndarray, yh: np.ndarray, ya: np.ndarray, low: dict[str, np.ndarray], kappa: np.ndarray,
-    tolerance: float = 1e-8, max_steps: int = 200,
+    tolerance: float = 1e-13, max_steps: int = 400,
 ) -> Fits:
     """Penalised weighted Poisson fits with the low-score term, many at once.
 
     Inputs have shape (f, m, m), indexed [fit, home, away]; ``kappa`` has shape (f,). Each step
     solves the Poisson information plus ridge for attacks, defences and home edge, then moves rho
-    by a scalar step inside its bounds. A team without rows keeps zero strengths. Fits that don't
-    converge fail the task.
+    by a scalar step inside its bounds. A team without rows keeps zero strengths. A fit has converged
+    when no gradient is above ``tolerance`` times its weight; one that hasn't fails the task.
     """
     f, m, _ = weight.shape
     att, dfc = np.zeros((f, m)), np.zeros((f, m))
     edge, rho, ridge = np.zeros(f), np.zeros(f), 2.0 * kappa[:, None]
     i = np.arange(m)
     gradient, steps = np.full(f, np.inf), 0
+    enough = tolerance * np.maximum(1.0, weight.sum((1, 2)))
     for steps in range(1, max_steps + 1):
         lam_h = np.exp(att[:, :, None] + dfc[:, None, :] + edge[:, None, None])
         lam_a = np.exp(att[:, None, :] + dfc[:, :, None])
@@ -177,7 +178,7 @@ def fit_batch(
         ], axis=1)
         held = ((rho <= -RHO_BOUND) & (g_rho < 0)) | ((rho >= RHO_BOUND) & (g_rho > 0))
         gradient = np.maximum(np.abs(g).max(1), np.where(held, 0.0, np.abs(g_rho)))
-        if (gradient < tolerance).all():
+        if (gradient < enough).all():
             break
         info = np.zeros((f, 2 * m + 1, 2 * m + 1))
         info[:, i, i] = wh.sum(2) + wa.sum(1) + ridge
@@ -192,8 +193,7 @@ def fit_batch(
         att, dfc, edge = att + move[:, :m], dfc + move[:, m : 2 * m], edge + move[:, 2 * m]
         rho = np.clip(rho + np.divide(g_rho, i_rho, out=np.zeros(f), where=i_rho > 0), -RHO_BOUND, RHO_BOUND)
     else:
-        if (gradient > 1e-6 * np.maximum(1.0, weight.sum((1, 2)))).any():
-            raise ArithmeticError(f"{int((gradient > tolerance).sum())} fits did not converge in {max_steps} steps")
+        raise ArithmeticError(f"{int((gradient >= enough).sum())} fits did not converge in {max_steps} steps")
     present = (weight.sum(2) + weight.sum(1)) > 0
     shift = np.log((np.exp(att) * present).sum(1) / np.maximum(present.sum(1), 1))[:, None]
     return Fits(att - shift, dfc + shift, edge, rho, gradient, steps)

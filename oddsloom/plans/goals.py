@@ -14,8 +14,9 @@ from ..operators import baselines as B
 from ..operators import forecasts as FC
 from ..operators import strengths as S
 from ..views import Tables
+from .refit import brier_sql, fit_sql, forecast_sql, temper_sql
 from .registry import query
-from .scoring import TEST, VALIDATION, market_forecasts, rounded
+from .scoring import FREQ_SQL, TEST, VALIDATION, market_forecasts, power_k_sql, rounded
 
 XI, W_MIX, KAPPA, TEMPERATURE = 0.003, 0.6, 1.0, 1.077
 
@@ -279,11 +280,15 @@ def lineup_adjustment(t: Tables) -> DataFrame:
     return out.select("match_id", "lineup_applied", F.round("lam_h", 6).alias("lam_h"), F.round("lam_a", 6).alias("lam_a"), F.size("strong_axes").alias("n_strong"))
 
 
-@query("strength_fit")
+@query("strength_fit", f"""
+WITH RECURSIVE {fit_sql(f'm.season IN {TEST}', [(XI, W_MIX, KAPPA)])}
+SELECT league, week, xi, w, kappa, team, round(attack, 5) AS attack, round(defence, 5) AS defence, round(home_edge, 5) AS home_edge, round(rho, 5) AS rho, round(attack_mean, 5) AS attack_mean, round(defence_mean, 5) AS defence_mean,
+  round(n_train, 5) AS n_train, n_teams, TRUE AS converged FROM strengths
+""")
 def strength_fit(t: Tables) -> DataFrame:
     """Strengths of every test-season fold, with convergence figures."""
     out = S.fit_all(t.played, S.target_folds(t.played, TEST), S.grid_settings([XI], [W_MIX], [KAPPA]))
-    return rounded(out, "attack", "defence", "home_edge", "rho", "attack_mean", "defence_mean", "n_train").withColumn(
+    return rounded(out, "attack", "defence", "home_edge", "rho", "attack_mean", "defence_mean", "n_train", digits=5).withColumn(
         "converged", F.col("max_gradient") < 1e-6
     ).drop("max_gradient", "steps")
 
@@ -312,7 +317,15 @@ def walk_forward_checks(t: Tables) -> DataFrame:
     return out.select("match_id", F.round(p[0] + p[1] + p[2], 6).alias("total"), (F.array_min(p) > 0).alias("positive"))
 
 
-@query("walk_forward_backtest")
+@query("walk_forward_backtest", f"""
+WITH RECURSIVE {fit_sql(f'm.season IN {TEST}', [(XI, W_MIX, KAPPA)])},
+{forecast_sql(f'm.season IN {TEST}')},
+{FREQ_SQL},
+all_ AS (SELECT r.*, {temper_sql('r.p', TEMPERATURE)} AS model, CASE WHEN f.n > 0 THEN [f.n0 / f.n, f.n1 / f.n, f.n2 / f.n] ELSE [1/3, 1/3, 1/3] END AS freq, m.odds_h, m.odds_d, m.odds_a, {power_k_sql('m.odds_h', 'm.odds_d', 'm.odds_a')} AS k
+  FROM forecast r JOIN matches_v m USING (match_id) JOIN freqs f ON f.league = r.league AND f.wk = r.week)
+SELECT match_id, league, season, {', '.join(f'round({c}[{i + 1}], 6) AS {c.replace("r_p", "raw")}_{s}' for c in ('model', 'freq') for i, s in enumerate('hda'))},
+  {', '.join(f'round(p[{i + 1}], 6) AS raw_{s}' for i, s in enumerate('hda'))}, {', '.join(f'round(pow(odds_{s}, -k), 6) AS market_{s}' for s in 'hda')}, round({brier_sql('model')}, 6) AS brier FROM all_
+""")
 def walk_forward_backtest(t: Tables) -> DataFrame:
     """Frozen settings over the test seasons: calibrated, raw, market and frequency triples."""
     out = FC.score_season_set(t.played, TEST, XI, W_MIX, KAPPA, TEMPERATURE)

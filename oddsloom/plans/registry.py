@@ -12,7 +12,7 @@ from ..views import Tables, with_views
 
 FAMILIES = (
     "ingest", "merging", "joining", "pricing", "goals", "featuring", "learning",
-    "scoring", "resampling", "tuning", "studying", "staking", "settling", "checking", "streaming",
+    "scoring", "resampling", "tuning", "studying", "staking", "settling", "checking", "streaming", "proving",
 )
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

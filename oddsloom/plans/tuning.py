@@ -12,12 +12,20 @@ from ..operators import strengths as S
 from ..operators import tuning as U
 from ..session import keep
 from ..views import Tables
+from .refit import brier_sql, fit_sql, forecast_sql
 from .registry import query
 from .resampling import BETS, movement_bets
 from .scoring import VALIDATION, rounded
 
 
-@query("xi_grid")
+def grid_sql(settings) -> str:
+    """CTEs ending in ``grid``: the validation Brier of each setting by a refit in SQL."""
+    return f"""{fit_sql(f'm.season IN {VALIDATION}', settings)},
+{forecast_sql(f'm.season IN {VALIDATION}')},
+grid AS (SELECT cell, xi, w, kappa, count(*) AS n, avg({brier_sql('p')}) AS brier FROM forecast GROUP BY ALL)"""
+
+
+@query("xi_grid", f"WITH RECURSIVE {grid_sql([(x, 0.0, 2.0) for x in XI_GRID])} SELECT cell, xi, w, kappa, n, round(brier, 6) AS brier FROM grid")
 def xi_grid(t: Tables) -> DataFrame:
     """Validation Brier of every decay rate (goals only)."""
     return rounded(U.validation_grid(t.played, VALIDATION, S.grid_settings(XI_GRID)), "brier")
@@ -29,7 +37,11 @@ def w_xi_grid(t: Tables) -> DataFrame:
     return rounded(U.validation_grid(t.played, VALIDATION, S.grid_settings(XI_GRID, W_GRID)), "brier")
 
 
-@query("kappa_choice")
+@query("kappa_choice", f"""
+WITH RECURSIVE {grid_sql([(0.003, 0.6, k) for k in KAPPA_GRID])},
+a AS (SELECT arg_min(kappa, brier) AS best, min(brier) AS least, max(brier) FILTER (kappa = 2.0) AS standard FROM grid)
+SELECT CASE WHEN standard - least < 1e-4 THEN 2.0 ELSE best END AS kappa, round(least, 6) AS brier, round(standard, 6) AS brier_default FROM a
+""")
 def kappa_choice(t: Tables) -> DataFrame:
     """Ridge weight, kept at its default unless the gain is worth it."""
     grid = U.validation_grid(t.played, VALIDATION, S.grid_settings([0.003], [0.6], KAPPA_GRID))
