@@ -84,11 +84,19 @@ def decay(xi: Column, reference: Column, day: Column) -> Column:
     return F.exp(-xi * F.datediff(reference, day))
 
 
+LATE = "training row on or after the reference date"
+
+
 def guard_before(df: DataFrame, day: str, reference: str) -> DataFrame:
     """Fail the job when a training day is not before the reference: nothing may leak."""
     ok = F.col(day) < F.col(reference)
-    message = F.lit("training row on or after the reference date")
-    return df.withColumn(day, F.when(ok, F.col(day)).otherwise(F.raise_error(message).cast("date")))
+    return df.withColumn(day, F.when(ok, F.col(day)).otherwise(F.raise_error(F.lit(LATE)).cast("date")))
+
+
+def guard_sums(run: DataFrame, last_day: str, reference: str, value: str) -> DataFrame:
+    """The same for sums: ``value`` can't be read where the last day that went into it isn't before the reference."""
+    ok = F.col(last_day) < F.col(reference)
+    return run.withColumn(value, F.when(ok, F.col(value)).otherwise(F.raise_error(F.lit(LATE)).cast("double")))
 
 
 def fold_sums(played: DataFrame, folds: DataFrame, xis: Sequence[float]) -> DataFrame:
@@ -105,19 +113,19 @@ def fold_sums(played: DataFrame, folds: DataFrame, xis: Sequence[float]) -> Data
         days.withColumn("xi", F.explode(F.array(*[F.lit(float(x)) for x in xis])))
         .withColumn("week", monday(F.col("date")))
         .groupBy("league", "xi", "home", "away", "week")
-        .agg(*[F.sum(F.col(s) * F.exp(F.col("xi") * F.datediff("date", anchor))).alias(s) for s in SUMS])
+        .agg(*[F.sum(F.col(s) * F.exp(F.col("xi") * F.datediff("date", anchor))).alias(s) for s in SUMS], F.max("date").alias("last_day"))
     )
     pairs = weekly.select("league", "xi", "home", "away").distinct()
     marks = pairs.join(folds, "league").select(
-        "league", "xi", "home", "away", "week", *[F.lit(0.0).alias(s) for s in SUMS], F.lit(True).alias("mark")
+        "league", "xi", "home", "away", "week", *[F.lit(0.0).alias(s) for s in SUMS], F.lit(None).cast("date").alias("last_day"), F.lit(True).alias("mark")
     )
     axis = weekly.withColumn("mark", F.lit(False)).unionByName(marks)
     past = (
         W.partitionBy("league", "xi", "home", "away").orderBy(F.datediff("week", anchor))
         .rangeBetween(W.unboundedPreceding, -1)
     )
-    run = axis.select("league", "xi", "home", "away", "week", "mark", *[F.sum(s).over(past).alias(s) for s in SUMS])
-    return run.filter("mark AND n IS NOT NULL").select(
+    run = axis.select("league", "xi", "home", "away", "week", "mark", *[F.sum(s).over(past).alias(s) for s in SUMS], F.max("last_day").over(past).alias("last_day"))
+    return guard_sums(run.filter("mark AND n IS NOT NULL"), "last_day", "week", "n").select(
         "league", "week", "xi", "home", "away", *[(F.col(s) / grow).alias(s) for s in SUMS]
     )
 
