@@ -83,6 +83,25 @@ def last_open_entry(journal: DataFrame, results: DataFrame) -> DataFrame:
     return results.withColumn("_key", F.lower("match")).join(last, "_key").drop("_key")
 
 
+def record_results(journal: DataFrame, results: DataFrame) -> DataFrame:
+    """The journal after results typed by hand (match, score): each goes to the last unsettled entry of that match, which is
+    settled; all other entries stay as they are. A result without such an entry changes nothing (``unmatched_results``).
+
+    ``journal``: position, match, actual_score and what ``settle_bets`` needs.
+    """
+    typed = last_open_entry(journal, results).groupBy("position").agg(F.min("score").alias("_score"))
+    marked = journal.join(typed, "position", "left")
+    written = marked.withColumn("actual_score", F.coalesce("actual_score", "_score"))
+    settled = settle_bets(written.withColumn("_old", F.col("bets")))
+    return settled.withColumn("bets", F.when(F.col("_score").isNotNull(), F.col("bets")).otherwise(F.col("_old"))).drop("_score", "_old")
+
+
+def unmatched_results(journal: DataFrame, results: DataFrame) -> DataFrame:
+    """Typed results for which no unsettled entry is left."""
+    live = journal.filter("actual_score IS NULL").select(F.lower("match").alias("_key")).distinct()
+    return results.withColumn("_key", F.lower("match")).join(live, "_key", "left_anti").drop("_key")
+
+
 def flat_bets(journal: DataFrame, keep: list[str]) -> DataFrame:
     return journal.select(*keep, F.explode("bets").alias("b")).select(*keep, "b.*")
 

@@ -141,6 +141,41 @@ def manual_results(t: Tables) -> DataFrame:
     return S.last_open_entry(entries, typed).select("match", "position")
 
 
+TYPED_SQL = "typed AS (SELECT home || '-' || away AS match, max(match_id) FILTER (fthg IS NULL) AS position, count(*) AS c FROM matches_v GROUP BY 1)"
+
+
+def typed_results(t: Tables) -> DataFrame:
+    """A result for every pair of teams, typed in capitals: goals by the number of their matches."""
+    name = F.upper(F.concat_ws("-", "home", "away")).alias("match")
+    counted = t.matches.groupBy(name).agg(F.count("*").alias("c"))
+    return counted.select("match", F.concat_ws("-", F.col("c") % 4, F.col("c") % 3).alias("score"))
+
+
+def open_journal(t: Tables) -> DataFrame:
+    return journal(t).withColumns({"match": F.concat_ws("-", "home", "away"), "position": F.col("match_id")})
+
+
+@query("recorded_results", f"""
+WITH {BETS_SQL}, {TYPED_SQL}
+SELECT b.match_id, (c % 4) || '-' || (c % 3) AS actual_score, round(CASE WHEN b.issue = CASE WHEN c % 4 > c % 3 THEN 'home' WHEN c % 4 = c % 3 THEN 'draw' ELSE 'away' END THEN stake_pct * (odds - 1) ELSE -stake_pct END, 6) AS realized_pct,
+  CASE WHEN odds_source = 'pinnacle_close' THEN round(odds / close - 1, 6) END AS clv_pct,
+  CASE WHEN odds_source = 'pinnacle_close' AND close IS NOT NULL THEN NULL WHEN close IS NULL THEN 'no_closing_odds' ELSE 'source_not_sharp' END AS clv_skipped, round(odds / snap - 1, 6) AS clv_pct_provisional
+FROM bt b JOIN typed t ON t.position = b.match_id
+""")
+def recorded_results(t: Tables) -> DataFrame:
+    """Entries that results typed by hand settled: score, P&L and closing-line values."""
+    before = open_journal(t)
+    after = S.record_results(before, typed_results(t))
+    new = after.join(before.filter("actual_score IS NULL").select("position"), "position", "left_semi").filter("actual_score IS NOT NULL")
+    return S.flat_bets(new, ["match_id", "actual_score"]).select("match_id", "actual_score", "realized_pct", "clv_pct", "clv_skipped", "clv_pct_provisional")
+
+
+@query("unmatched_results", f"WITH {TYPED_SQL} SELECT upper(match) AS match, (c % 4) || '-' || (c % 3) AS score FROM typed WHERE position IS NULL")
+def unmatched_results(t: Tables) -> DataFrame:
+    """Typed results of pairs that have no unsettled entry."""
+    return S.unmatched_results(open_journal(t), typed_results(t))
+
+
 def entries(t: Tables) -> DataFrame:
     age = F.when(F.col("match_id") % 11 != 0, F.col("match_id") % 9)
     return market_forecasts(t).select("match_id", "date", "outcome", F.col("freq").alias("probs"), "market", age.alias("odds_age_days"), "fthg", "ftag")
