@@ -94,8 +94,8 @@ def guard_before(df: DataFrame, day: str, reference: str) -> DataFrame:
 
 
 def guard_sums(run: DataFrame, last_day: str, reference: str, value: str) -> DataFrame:
-    """The same for sums: ``value`` can't be read where the last day that went into it isn't before the reference."""
-    ok = F.col(last_day) < F.col(reference)
+    """The same for sums: ``value`` can't be read where the last day that went into it isn't before the reference (NULL: no day did)."""
+    ok = F.col(last_day).isNull() | (F.col(last_day) < F.col(reference))
     return run.withColumn(value, F.when(ok, F.col(value)).otherwise(F.raise_error(F.lit(LATE)).cast("double")))
 
 

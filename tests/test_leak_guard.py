@@ -21,6 +21,11 @@ def test_fold_sums_read_earlier_days_only(spark):
     assert {str(r.week): r.n for r in sums.collect()} == {"2000-01-17": 14.0, "2000-01-24": 21.0}
 
 
+def test_pairs_that_meet_later_have_empty_sums(spark):
+    late = matches(spark).withColumn("home", F.when(F.col("match_id") == 20, "T9").otherwise(F.col("home")))
+    assert S.fold_sums(late, folds(spark), [0.0]).filter("home = 'T9'").agg(F.sum("n")).first()[0] in (None, 0.0)
+
+
 def test_planted_late_row_fails_the_fit(spark, monkeypatch):
     """A week that is dated before its own days lets rows of the fold's future into its sums."""
     monkeypatch.setattr(S, "monday", lambda day: F.date_sub(F.date_trunc("week", day).cast("date"), 7))
