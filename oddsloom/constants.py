@@ -4,15 +4,8 @@ Everything in this file must equal the published protocol for results to agree,
 as plain text and nowhere else.
 """
 
-# --- fixed values: leagues, seasons and their roles -------------------------------------------
+# --- fixed values: leagues ------------------------------------------------------------------
 TOP_LEAGUES = ("E0", "SP1", "F1")
-SECONDARY_LEAGUES = ("E1", "SP2", "I2", "N1")
-ALL_LEAGUES = TOP_LEAGUES + SECONDARY_LEAGUES
-BURN_IN_SEASONS = ("1819", "1920")
-VALIDATION_SEASONS = ("2021", "2122")
-TEST_SEASONS = ("2223", "2324", "2425", "2526")
-LEAK_SEASON = "2223"
-CLOSING_FROM_SEASON = "1920"
 
 # --- fixed values: odds column chains of the result files -------------------------------------
 ODDS_1X2_CHAIN = (
@@ -89,10 +82,6 @@ LEGACY_BLEND = 0.65
 OPEN_HORIZON = 7
 BLEND_AGES = (0, 1, 3, 5, 7)
 BLEND_TOLERANCE = 1e-4
-NO_ODDS_REASONS = (
-    "not_yet_published", "lookup_failed", "margin_rejected",
-    "not_provided", "slate_odds_ignored", "book_odds_unavailable",
-)
 DECLARABLE_REASONS = ("not_yet_published", "lookup_failed", "margin_rejected")
 DEFAULT_REASON = "not_provided"
 LINEUP_MIN, LINEUP_MAX, LINEUP_ALERT = 0.5, 1.75, 0.3
@@ -141,9 +130,3 @@ ML_GRID = (
     {"max_leaves": 15, "step": 0.05, "rounds": 150},
     {"max_leaves": 31, "step": 0.03, "rounds": 200},
 )
-MATCH_COLUMNS = (
-    "date", "league", "season", "home", "away", "fthg", "ftag", "hthg", "htag",
-    "odds_h", "odds_d", "odds_a", "odds_source", "ou25_over", "ou25_under",
-    "ah_line", "ah_home", "ah_away", "shots_h", "shots_a", "sot_h", "sot_a",
-    "corners_h", "corners_a", "fouls_h", "fouls_a", "yellow_h", "yellow_a", "red_h", "red_a",
-)

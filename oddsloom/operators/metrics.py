@@ -104,11 +104,6 @@ def longshot_bias(pairs: DataFrame, keys: Sequence[str] = (), below: float = LON
     return low.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("p") - F.col("hit")).alias("bias"))
 
 
-def relative_gap(scores: Column, reference: Column) -> Column:
-    """Gap between two means in % of the reference."""
-    return F.try_divide((F.avg(scores) - F.avg(reference)) * 100.0, F.avg(reference))
-
-
 def macro_auc(df: DataFrame, probs: Column, outcome: Column, slices: int = 4096) -> DataFrame:
     """One-vs-rest AUC by average ranks, averaged over the classes that have both labels.
 

@@ -11,7 +11,7 @@ from .. import constants as K
 from ..functions import odds as O
 from ..functions.outcomes import brier
 from .forecasts import walk_forward
-from .strengths import SETTING, Setting, grid_settings, settings_frame
+from .strengths import SETTING, Setting, settings_frame
 
 
 def validation_grid(played: DataFrame, seasons: Sequence, settings: Sequence[Setting]) -> DataFrame:
@@ -21,12 +21,6 @@ def validation_grid(played: DataFrame, seasons: Sequence, settings: Sequence[Set
     return scores.join(settings_frame(played.sparkSession, settings), list(SETTING))
 
 
-def best_cell(grid: DataFrame) -> DataFrame:
-    """The cell with the least Brier; the earlier cell wins a tie."""
-    cols = [c for c in grid.columns]
-    return grid.agg(F.min_by(F.struct(*cols), F.struct("brier", "cell")).alias("r")).select("r.*")
-
-
 def keep_default_unless(grid: DataFrame, default: float = K.KAPPA_DEFAULT, gain: float = K.KAPPA_MIN_GAIN) -> DataFrame:
     """Best kappa, unless it gains less than ``gain`` over the default."""
     at_default = F.max(F.when(F.col("kappa") == default, F.col("brier")))
@@ -86,10 +80,6 @@ def merge_frozen(frozen: DataFrame, tuned: DataFrame, key: str = "market") -> Da
     return frozen.unionByName(tuned.join(frozen.select(key), key, "left_anti").select(*frozen.columns))
 
 
-def missing_keys(frozen: DataFrame, wanted: DataFrame, key: str = "market") -> DataFrame:
-    return wanted.join(frozen.select(key), key, "left_anti")
-
-
 def require_frozen(frozen: DataFrame, wanted: DataFrame, key: str = "market") -> DataFrame:
     """The frozen rows of the wanted keys; a run with a missing key fails."""
     joined = wanted.select(key).distinct().join(frozen.withColumn("_have", F.lit(True)), key, "left")
@@ -161,7 +151,3 @@ def best_fixed_weight(grid: DataFrame) -> DataFrame:
     means = grid.groupBy("w").agg(F.avg("brier").alias("brier"))
     return means.agg(F.min_by("w", F.struct("brier", "w")).alias("w"), F.min("brier").alias("brier"))
 
-
-def default_settings() -> list[Setting]:
-    """The published w x xi grid."""
-    return grid_settings(K.XI_GRID, K.W_GRID)
