@@ -1,11 +1,11 @@
 """Collocations: phrases of 2 to 4 words mined level by level with double-array tries of Apriori-safe candidates.
 
-1. Words are counted by language with an ordinary aggregation; those of ``least`` occurrences or more are the frequent
-   phrases of one word. The texts are then written once as runs of 64-bit word keys (a hash of language and word), cut
-   at piece ends, other words and language changes; all later passes read these.
+1. Words are counted by 64-bit keys, hashes of language and word; those of ``least`` occurrences or more are the frequent
+   phrases of one word. The texts are then written once as runs of keys, cut at piece ends and other words; all later passes
+   but the last, which names the words of the first phrases, read these.
 2. For each length n a candidate is a phrase that occurs, whose two parts of n - 1 words are both frequent (only such a
    phrase can be), and whose cell of a count sketch reached ``least`` (a sketch counts no phrase too low, so neither test
-   loses one). The sketch has about one cell for four words, 2^26 at most; a fuller one only leaves more candidates.
+   loses one). The sketch has about one cell for 16 words, 2^24 at most; a fuller one only leaves more candidates.
 3. Candidates go to a double-array trie over the keys' ranks, spelled as bytes, which is broadcast. numpy advances the
    states of all text positions together, one word after the other, drops those that fall out, and bincounts the
    accepting states; the tasks' counts are summed. A trie holds about ``TRIE`` candidates: more are dealt by their hash to
@@ -31,16 +31,19 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import double_array
+from . import double_array, tokens
 from .ngram_trie import slices
 from .storage import passing_tables, settled
 from .words import find_words, mix, shingle_hashes, word_hashes
 
 U = np.uint64
 LONGEST = 4
-TRIE = 400_000  # candidates of a trie
+TRIE = 200_000  # candidates of a trie
 SLICE = 1 << 16  # cells of a sketch in a row
-MOST_BITS = 26
+MOST_BITS = 24
+TEXT_BYTES = 1 << 21  # of texts worked on at a time
+HELD = 1 << 18  # word or phrase keys that a task holds before it sends them
+NAMED = 4_000_000  # keys whose words are looked up in one pass
 BREAKS = np.zeros(256, bool)  # between words
 ENDS = np.zeros(256, bool)  # of pieces
 ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -58,13 +61,27 @@ def _language(lang: str) -> np.uint64:
     return U(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
+def language_hashes(langs: pa.Array) -> np.ndarray:
+    names = langs.dictionary_encode()
+    return np.array([_language(x) for x in names.dictionary.to_pylist()], U)[names.indices.to_numpy()]
+
+
+def language_names(docs: DataFrame) -> DataFrame:
+    """lang (hash), name of every language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch_of("lang long, name string", language_hashes(batch.column(0)).view(np.int64), batch.column(0))
+
+    return settled(_source(docs).select("lang").distinct().mapInArrow(run, "lang long, name string"), "languages")
+
+
 def keyed_words(langs: pa.Array, texts: pa.Array):
     """The words of a batch, their keys (never 0), each one's row, and whether a word goes on in the piece of the one before."""
     words = find_words(texts, breaks=BREAKS)
     row = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    names = langs.dictionary_encode()
-    salt = np.array([_language(x) for x in names.dictionary.to_pylist()], U)[names.indices.to_numpy()]
-    keys = mix(word_hashes(words) ^ salt[row])
+    keys = mix(word_hashes(words) ^ language_hashes(langs)[row])
     keys[keys == 0] = 1
     ends = np.concatenate([[0], np.cumsum(ENDS[words.data])])
     joined = np.zeros(len(row), bool)
@@ -87,26 +104,74 @@ def _source(docs: DataFrame) -> DataFrame:
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     for batch in batches:
         at = 0
-        for texts in slices(batch.column(1)):
+        for texts in slices(batch.column(1), TEXT_BYTES):
             yield batch.column(0).slice(at, len(texts)), texts
             at += len(texts)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of some parts (keys, languages, counts), with their counts added up."""
+    keys, lang, n = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], lang[order[first]], np.add.reduceat(n[order], first)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word, key, n for every word of every language."""
-    schema = "lang string, word string, key long, n long"
+    """lang (the language's hash), key, n for every word of every language."""
+    schema = "lang long, key long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
+        held, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            keys, lang, n = _merged(held)
+            return batch_of(schema, lang.view(np.int64), keys.view(np.int64), n)
+
         for langs, texts in _each(batches):
-            words, keys, row, _ = keyed_words(langs, texts)
+            _, keys, row, _ = keyed_words(langs, texts)
+            if not len(keys):
+                continue
             found, first, n = np.unique(keys, return_index=True, return_counts=True)
-            if len(found):
-                yield batch_of(schema, langs.take(pa.array(row[first])), _strings(words, first), found.view(np.int64), n)
-
-    counts = _source(docs).mapInArrow(run, schema).groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
+            held.append((found, language_hashes(langs)[row[first]], n))
+            size += len(found)
+            if size > HELD:
+                yield send()
+                held, size = [], 0
+        if size:
+            yield send()
+
+    counts = _source(docs).mapInArrow(run, schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     return settled(counts, "word-counts")
 
 
+def words_of(docs: DataFrame, wanted: DataFrame, most: int = NAMED) -> DataFrame:
+    """key, word for the keys of ``wanted``: the texts are read once for every ``most`` keys."""
+    groups, out = max(1, -(-wanted.count() // most)), None
+    for g in range(groups):
+        own = wanted.filter(F.pmod(F.xxhash64("key"), F.lit(groups)) == g).toArrow().column(0).to_numpy()
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(own.view(U)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            open_ = sent.value  # keys that this task hasn't named
+            for langs, texts in _each(batches):
+                if not len(open_):
+                    continue
+                words, keys, _, _ = keyed_words(langs, texts)
+                place = np.minimum(np.searchsorted(open_, keys), len(open_) - 1)
+                at = np.flatnonzero(open_[place] == keys)
+                found, first = np.unique(keys[at], return_index=True)
+                if len(found):
+                    yield batch_of("key long, word string", found.view(np.int64), _strings(words, at[first]))
+                    open_ = np.setdiff1d(open_, found, assume_unique=True)
+
+        part = _source(docs).mapInArrow(run, "key long, word string")
+        out = part if out is None else out.unionByName(part)
+    return settled(out.groupBy("key").agg(F.min("word").alias("word")), "names")
+
+
 def hash_cells(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> U(64 - bits)).astype(np.int64)
 
@@ -146,17 +211,18 @@ def marked(marks: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 
 def key_runs(docs: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
-    """The texts as runs of the keys of frequent words with 0 between runs; a row is a few megabytes of texts."""
+    """The texts as runs of the keys of frequent words with 0 between runs; a row for a few megabytes of texts."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)  # 2 ** bits bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         pack = zstandard.ZstdCompressor(level=1)
         for langs, texts in _each(batches):
             _, keys, _, joined = keyed_words(langs, texts)
             some = marked(sent.value, hash_cells(keys, bits))
             before = np.concatenate([[False], some[:-1]]) & joined  # goes on from a frequent word
-            after = np.concatenate([before[1:], [False]])
-            kept = some & ((before & some) | after)  # a word alone is no part of a phrase
+            after = np.concatenate([before[1:] & some[1:], [False]])
+            kept = some & (before | after)  # a word alone is no part of a phrase
             first = np.flatnonzero(kept & ~before)
             runs = np.insert(keys[kept], (np.cumsum(kept) - 1)[first], U(0))
             if len(runs):
@@ -198,6 +264,7 @@ def sketch(runs: DataFrame, n: int, least: int, frequent: np.ndarray, bits: int)
     schema, cells = "slice long, counts binary", max(SLICE, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         counts = np.zeros(cells, np.uint32)
         for keys in runs_of(batches):
             np.add.at(counts, hash_cells(safe_windows(keys, n, sent.value, bits)[1], bits), np.uint32(1))
@@ -234,13 +301,26 @@ def candidates(runs: DataFrame, n: int, frequent: np.ndarray, filled: np.ndarray
     schema = ", ".join(["hash long", *(f"k{d + 1} long" for d in range(n))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
+        held, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            hashes, *words = (np.concatenate(c) for c in zip(*held))
+            found, first = np.unique(hashes, return_index=True)
+            return batch_of(schema, found.view(np.int64), *(w[first].view(np.int64) for w in words))
+
         for keys in runs_of(batches):
             at, hashes = safe_windows(keys, n, known.value, bits)
             some = marked(cells.value, hash_cells(hashes, bits))
             found, first = np.unique(hashes[some], return_index=True)
-            if len(found):
-                at = at[some][first]
-                yield batch_of(schema, found.view(np.int64), *(keys[at + d].view(np.int64) for d in range(n)))
+            at = at[some][first]
+            held.append((found, *(keys[at + d] for d in range(n))))
+            size += len(found)
+            if size > HELD:
+                yield send()
+                held, size = [], 0
+        if size:
+            yield send()
 
     rows = runs.mapInArrow(run, schema).groupBy("hash").agg(*[F.min(f"k{d + 1}").alias(f"k{d + 1}") for d in range(n)])
     return settled(rows, "candidates")
@@ -261,6 +341,7 @@ def count_by_tries(runs: DataFrame, found: DataFrame, n: int, most: int = TRIE)
         sent = spark.sparkContext.broadcast((vocabulary, trie, columns[0]))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tokens.release()
             vocabulary, trie, hashes = sent.value
             total = np.zeros(len(hashes), np.int64)
             for keys in runs_of(batches):
@@ -286,10 +367,9 @@ def count_by_tries(runs: DataFrame, found: DataFrame, n: int, most: int = TRIE)
 
 
 def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Word counts, and all frequent phrases: n, hash, f, k1 .. k4 (the words' keys, null beyond n)."""
+    """Word counts (lang, a hash, key, n), and all frequent phrases: n, hash, f, k1 .. k4 (the words' keys, null beyond n)."""
     counts = word_counts(docs)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    bits = min(MOST_BITS, max(16, (total // 4).bit_length()))
+    bits = min(MOST_BITS, max(16, ((counts.agg(F.sum("n")).first()[0] or 0) // 16).bit_length()))
     every = [F.col(f"k{d + 1}") for d in range(LONGEST)]
     level = counts.filter(F.col("n") >= least).select(F.col("key").alias("hash"), F.col("n").alias("f"), F.col("key").alias("k1"))
     level = settled(level, "frequent")
@@ -306,9 +386,10 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]
     return counts, out.select("n", "hash", "f", *every)
 
 
-def _parts(phrases: DataFrame) -> DataFrame:
-    """Every cut and every inner phrase of phrases of two words and more: hash, kind (0 a cut after k words, 1 inner), k, left, right."""
-    schema = "hash long, kind int, k int, left long, right long"
+def _parts(phrases: DataFrame, inner: bool) -> DataFrame:
+    """The inner phrases of phrases of three words and more (hash, above: the count of the whole), or the cuts of phrases of two words and
+    more (hash, a, k, left, right)."""
+    schema = "hash long, above long" if inner else "hash long, a long, k int, left long, right long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,45 +398,48 @@ def _parts(phrases: DataFrame) -> DataFrame:
                 own = np.flatnonzero(size == n)
                 if not len(own):
                     continue
-                own_hash = batch.column(1).to_numpy()[own]
-                keys = np.stack([batch.column(d + 2).fill_null(0).to_numpy()[own].view(U) for d in range(n)], 1)
+                whole, f = (batch.column(c).to_numpy()[own] for c in (1, 2))
+                keys = np.stack([batch.column(d + 3).fill_null(0).to_numpy()[own].view(U) for d in range(n)], 1)
 
                 def of(a: int, b: int) -> np.ndarray:
                     flat = np.ascontiguousarray(keys[:, a:b]).reshape(-1)
                     return phrase_hashes(flat, b - a)[:: b - a].view(np.int64)
 
-                cuts = [(0, k, of(0, k), of(k, n)) for k in range(1, n)]
-                inner = [(1, 0, of(a, a + m), of(a, a + m)) for m in range(2, n) for a in range(n - m + 1)]
-                for kind, k, left, right in cuts + inner:
-                    yield batch_of(schema, own_hash, np.full(len(own), kind), np.full(len(own), k), left, right)
+                if inner:
+                    for m in range(2, n):
+                        for a in range(n - m + 1):
+                            yield batch_of(schema, of(a, a + m), f)
+                else:
+                    for k in range(1, n):
+                        yield batch_of(schema, whole, f, np.full(len(own), k), of(0, k), of(k, n))
 
-    return phrases.select("n", "hash", *[f"k{d + 1}" for d in range(LONGEST)]).mapInArrow(run, schema)
+    return phrases.select("n", "hash", "f", *[f"k{d + 1}" for d in range(LONGEST)]).mapInArrow(run, schema)
 
 
 def collocations(docs: DataFrame, least: int = 30, closed_percent: int = 80, top: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language."""
     with passing_tables():
         counts, phrases = frequent_phrases(docs, least)
-        sizes = settled(phrases.select("hash", "f"), "frequent")
-        longer = phrases.filter("n > 1")
-        parts = settled(_parts(longer).join(longer.select("hash", F.col("f").alias("a")), "hash"), "parts")
-        halves = parts.filter("kind = 0").join(sizes.select(F.col("hash").alias("left"), F.col("f").alias("l")), "left")
-        halves = halves.join(sizes.select(F.col("hash").alias("right"), F.col("f").alias("r")), "right")
+        sizes = phrases.select("hash", "f")
         whole = lambda c: F.col(c).cast("decimal(20,0)")  # noqa: E731  products may pass 64 bits
+        closed = _parts(phrases.filter("n > 2"), inner=True).groupBy("hash").agg(F.max("above").alias("above"))
+        open_ = phrases.filter("n > 1").join(closed, "hash", "left")
+        open_ = settled(open_.filter(F.col("above").isNull() | (whole("above") * 100 < whole("f") * closed_percent)), "open-phrases")
+        halves = _parts(open_, inner=False).join(sizes.select(F.col("hash").alias("left"), F.col("f").alias("l")), "left")
+        halves = halves.join(sizes.select(F.col("hash").alias("right"), F.col("f").alias("r")), "right")
         halves = halves.withColumn("score", F.expr("cast(a as decimal(20,0)) * 2000000BD div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"))
         cut = halves.groupBy("hash", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-        closed = parts.filter("kind = 1").groupBy(F.col("left").alias("hash")).agg(F.max("a").alias("above"))
-        cut = cut.join(closed, "hash", "left").filter(F.col("above").isNull() | (whole("above") * 100 < whole("a") * closed_percent))
-        names = settled(counts.filter(F.col("n") >= least).select("key", "lang", "word"), "names")
-        rows = cut.select("hash", "a", "cut.score", "cut.l", "cut.r").join(longer.drop("f", "n"), "hash")
-        rows = rows.join(names.select(F.col("key").alias("k1"), "lang", F.col("word").alias("w1")), "k1")
+        rows = cut.select("hash", "a", "cut.score", "cut.l", "cut.r").join(open_.select("hash", *[f"k{d + 1}" for d in range(LONGEST)]), "hash")
+        rows = rows.join(counts.filter(F.col("n") >= least).select(F.col("key").alias("k1"), "lang"), "k1")
         near = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
         rows = settled(rows.withColumn("near", F.rank().over(near)).filter(F.col("near") <= top), "best")  # with all ties
-        for d in range(2, LONGEST + 1):
+        wanted = rows.select(F.explode(F.array(*[f"k{d + 1}" for d in range(LONGEST)])).alias("key")).filter("key is not null").distinct()
+        names = words_of(docs, settled(wanted, "wanted"))
+        for d in range(1, LONGEST + 1):
             rows = rows.join(names.select(F.col("key").alias(f"k{d}"), F.col("word").alias(f"w{d}")), f"k{d}", "left")
         rows = rows.withColumn("phrase", F.concat_ws(" ", *[f"w{d}" for d in range(1, LONGEST + 1)]))
         last = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
         rows = rows.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= top)
         totals = settled(counts.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        out = rows.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+        out = rows.join(totals, "lang").join(language_names(docs), "lang").select(F.col("name").alias("lang"), F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
         return settled(out, "collocations", stays=True)

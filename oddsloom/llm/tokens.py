@@ -9,6 +9,7 @@ or with an added token's string are encoded whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from array import array
@@ -103,9 +104,13 @@ class Encoder:
 
 
 def release() -> None:
-    """Forget the pieces that this worker has encoded: other operators' tasks need the memory."""
+    """Forget the pieces that this worker has encoded, and give freed memory back: other operators' tasks need it."""
     for enc in _encoders.values():
         enc.young, enc.old = {}, {}
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def encoder(vocabulary: str) -> Encoder:

@@ -83,7 +83,7 @@ def brute_phrases(rows, least, closed, top):
     return out
 
 
-@pytest.mark.parametrize("least,closed,top", [(2, 80, 2000), (4, 50, 7), (30, 80, 2000), (10**6, 80, 5)])
+@pytest.mark.parametrize("least,closed,top", [(2, 80, 2000), (4, 50, 7), (10**6, 80, 5)])
 def test_phrases(docs, least, closed, top):
     rows = [(r.lang, r.text) for r in docs.select("lang", "text").collect()]
     same(phrases.collocations(docs, least, closed, top).collect(), brute_phrases(rows, least, closed, top))
@@ -134,7 +134,7 @@ def items(spark, docs):
     return spark.createDataFrame([(i, t, 1, "w") for i, t in made], "item_id long, text string, row int, word string")
 
 
-@pytest.mark.parametrize("window,small", [(10, None), (3, None), (1, None), (10, 0)])
+@pytest.mark.parametrize("window,small", [(10, None), (1, None), (3, 0)])
 def test_contaminated(docs, items, window, small, monkeypatch):
     if small is not None:  # every table too large to be broadcast
         monkeypatch.setattr(decontaminate, "SMALL", small)
