@@ -16,32 +16,35 @@ MEETING = (*FIXTURE, "commence_date")  # a fixture is played every season: one m
 DELTAS = (0, -1, 1, -2, 2)
 
 
-def tolerance_candidates(source: DataFrame) -> DataFrame:
-    """Ten dated candidates per xG row: five shifts, two orientations, in priority order."""
-    options = [
-        F.struct(
-            F.lit(i + (5 if swapped else 0)).alias("prio"),
-            F.date_add("date", delta).alias("date"),
-            F.col("away" if swapped else "home").alias("home"),
-            F.col("home" if swapped else "away").alias("away"),
-            F.col("xg_away" if swapped else "xg_home").alias("xg_home"),
-            F.col("xg_home" if swapped else "xg_away").alias("xg_away"),
-        )
-        for swapped in (False, True)
-        for i, delta in enumerate(DELTAS)
-    ]
-    return source.select("seq", F.explode(F.array(*options)).alias("c")).select("seq", "c.*")
+SPAN = 8  # days in a bucket of match_xg
 
 
 def match_xg(matches: DataFrame, source: DataFrame) -> DataFrame:
     """One row per matched source row: seq, and the (date, home, away) it lands on, with its xG.
 
-    Only the match keys are needed, so duplicate keys collapse before the equi-join.
+    A pairing's match days and orientations are gathered by buckets of ``SPAN`` days, those within reach of a bucket
+    included: a short list whatever the rows. A source row meets the list of its own bucket and takes the first of its
+    ten candidates (five shifts, two orientations, in priority order) found there, so no row is copied.
     """
-    keys = matches.select("date", "home", "away").distinct()
-    hits = tolerance_candidates(source).join(keys, ["date", "home", "away"])
+    reach, epoch = max(DELTAS), F.lit("1970-01-01").cast("date")
+    bucket = lambda day: F.floor(day / SPAN)
+
+    def paired(rows: DataFrame) -> DataFrame:
+        lo, day = F.least("home", "away"), F.datediff("date", epoch)
+        return rows.dropna(subset=["date", "home", "away"]).withColumns({
+            "_lo": lo, "_hi": F.greatest("home", "away"), "_day": day, "_side": F.when(F.col("home") == lo, 0).otherwise(1)})
+
+    ends = F.array(bucket(F.col("_day") - reach), bucket(F.col("_day") + reach))
+    keys = paired(matches.select("date", "home", "away")).withColumn("_bucket", F.explode(F.array_distinct(ends)))
+    lists = keys.groupBy("_lo", "_hi", "_bucket").agg(F.collect_set(F.col("_day") * 2 + F.col("_side")).alias("_found"))
+    place = lambda i: (F.col("_day") + DELTAS[i % 5]) * 2 + (F.col("_side") if i < 5 else 1 - F.col("_side"))
+    prio = F.coalesce(*[F.when(F.array_contains("_found", place(i)), i) for i in range(2 * len(DELTAS))])
+    hits = paired(source).withColumn("_bucket", bucket(F.col("_day"))).join(lists, ["_lo", "_hi", "_bucket"]).withColumn("prio", prio).filter("prio IS NOT NULL")
+    shift, swapped = F.array(*[F.lit(d) for d in DELTAS])[F.col("prio") % 5], F.col("prio") >= 5
+    turned = {c: F.when(swapped, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in (("home", "away"), ("away", "home"), ("xg_home", "xg_away"), ("xg_away", "xg_home"))}
+    landed = hits.select("seq", F.date_add("date", shift).alias("date"), *turned.values(), "prio")
     best = F.min_by(F.struct("date", "home", "away", "xg_home", "xg_away", "prio"), F.col("prio"))
-    return hits.groupBy("seq").agg(best.alias("r")).select("seq", "r.*")
+    return landed.groupBy("seq").agg(best.alias("r")).select("seq", "r.*")
 
 
 def apply_xg(matches: DataFrame, source: DataFrame) -> DataFrame:

@@ -303,3 +303,26 @@ def test_results_file_headers_and_bad_lines(spark, tmp_path):
     assert rows["Hull"]["odds_source"] == "avg_close" and rows["Hull"]["season"] == "2324"
     lens = rows["Lens"]
     assert lens["date"] == day("2018-08-10") and lens["odds_source"] == "avg_open" and lens["fthg"] is None
+
+
+def test_xg_rows_are_not_copied_to_meet_their_match(spark):
+    """Ten candidates a row, worked out by hand, on days on both sides of the buckets' ends and of 1970."""
+    days = [d for d in range(-20, 40) if d % 7 in (0, 1, 4)]
+    teams = [("a", "b"), ("b", "a"), ("a", "a"), ("b", None)]
+    keys = [(d, *teams[(d * 5) % 4]) for d in days] + [(None, "a", "b")]
+    rows = [(i, d, *teams[i % 4], i / 2.0, -i / 3.0) for i, d in enumerate(range(-25, 45))] + [(99, None, "a", "b", 1.0, 1.0)]
+    dated = lambda df: df.withColumn("date", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")))
+    matches = dated(spark.createDataFrame(keys, "day int, home string, away string"))
+    source = dated(spark.createDataFrame(rows, "seq long, day int, home string, away string, xg_home double, xg_away double"))
+    wanted, known = {}, {k for k in keys if None not in k}
+    for seq, day, home, away, xh, xa in rows:
+        options = [(day + d, *side) for side in ((home, away, xh, xa), (away, home, xa, xh)) for d in (0, -1, 1, -2, 2)] if day is not None else []
+        for prio, option in enumerate(options):
+            if option[:3] in known:
+                wanted[seq] = (*option, prio)
+                break
+    out = J.match_xg(matches, source)
+    found = {r.seq: (r.day, r.home, r.away, r.xg_home, r.xg_away, r.prio) for r in out.withColumn("day", F.datediff("date", F.lit("1970-01-01"))).collect()}
+    assert found == wanted and len(found) > 20 and len({p[-1] for p in found.values()}) > 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Generate" in line and "xg_home" in line for line in plan.splitlines())
