@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,11 +73,11 @@ FLAGS_SCHEMA = T.StructType(
 )
 
 
-def result_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Every data line of a folder of result CSVs as a map header -> text, with season and league.
+def result_cells(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """Every data line of a folder of result CSVs: its cells, where each of ``names`` stands in them, season and league.
 
-    Seasons differ in their columns, so each line is keyed by its own file's header. Lines with
-    more fields than the header are skipped, shorter ones are padded.
+    Seasons differ in their columns, so places are those of each line's own file (NULL for a column that the file doesn't
+    have), found once a file. Lines with more fields than the header are skipped, the missing cells of shorter ones are NULL.
     """
     lines = spark.read.csv(
         path, schema="line string", sep="\u0001", quote="", encoding="ISO-8859-1", recursiveFileLookup=True
@@ -83,52 +85,63 @@ def result_cells(spark: SparkSession, path: str) -> DataFrame:
     plain = F.split("line", ",")
     quoted = F.transform(F.split("line", COMMA_OUTSIDE_QUOTES), lambda v: F.btrim(v, F.lit('"')))
     parts = F.transform(F.when(F.col("line").contains('"'), quoted).otherwise(plain), lambda v: F.trim(v))
+    # a line without the text HomeTeam can't have such a cell: it needn't be split to know
     cells = lines.withColumn("cells", parts).withColumn(
-        "is_header", F.array_contains("cells", "HomeTeam") & F.array_contains("cells", "Date")
+        "is_header", F.col("line").contains("HomeTeam") & F.array_contains("cells", "HomeTeam") & F.array_contains("cells", "Date")
     )
     headers = cells.filter("is_header").groupBy("file").agg(F.max("cells").alias("header"))
-    body = cells.filter("NOT is_header").join(headers, "file").filter(F.size("cells") <= F.size("header"))
-    width = F.size("header")
-    padded = F.concat("cells", F.array_repeat(F.lit(None).cast("string"), width - F.size("cells")))
-    named = F.map_from_entries(
-        F.filter(F.arrays_zip(F.col("header").alias("k"), padded.alias("v")), lambda e: e["k"] != "")
-    )
+    named = F.filter("header", lambda h: h != "")
+    twice = F.raise_error(F.concat(F.lit("column listed twice in the header of "), F.col("file"))).cast("int")
+    at = F.struct(*[(F.nullif(F.array_position("header", n), F.lit(0)) - 1).cast("int").alias(n) for n in names])
+    places = headers.select(
+        "file", F.when(F.size(named) == F.size(F.array_distinct(named)), F.size("header")).otherwise(twice).alias("width"), at.alias("at"))
+    # one row for each file
+    body = cells.filter("NOT is_header").join(F.broadcast(places), "file").filter(F.size("cells") <= F.col("width"))
     return body.select(
         F.regexp_extract("file", PATH_PATTERN, 1).alias("season"),
         F.regexp_extract("file", PATH_PATTERN, 2).alias("league"),
-        named.alias("cell"),
+        "cells", "at",
     )
 
 
 def _text(name: str) -> Column:
-    return F.nullif(F.try_element_at("cell", F.lit(name)), F.lit(""))
+    return F.nullif(F.get("cells", F.col("at").getField(name)), F.lit(""))
+
+
+FIXTURE_CELLS = ("Date", "HomeTeam", "AwayTeam")
 
 
-def _value(name: str) -> Column:
-    return number(_text(name))
+def _result_rows(spark: SparkSession, path: str, numbers: Sequence[str]) -> DataFrame:
+    """Lines with a date and both teams: season, league, those three texts and ``numbers``, each cell parsed once."""
+    numbers = list(dict.fromkeys(numbers))
+    cells = result_cells(spark, path, [*FIXTURE_CELLS, *numbers])
+    rows = cells.select("season", "league", *[_text(n).alias(n) for n in FIXTURE_CELLS], *[number(_text(n)).alias(n) for n in numbers])
+    return rows.dropna(subset=list(FIXTURE_CELLS))
 
 
 def _fixture() -> list[Column]:
-    return [mixed_date(_text("Date")).alias("date"), _text("HomeTeam").alias("home"), _text("AwayTeam").alias("away")]
+    return [mixed_date(F.col("Date")).alias("date"), F.col("HomeTeam").alias("home"), F.col("AwayTeam").alias("away")]
 
 
-def _dated(cells: DataFrame) -> DataFrame:
-    return cells.filter(_text("Date").isNotNull() & _text("HomeTeam").isNotNull() & _text("AwayTeam").isNotNull())
+GOAL_COLUMNS = {"fthg": "FTHG", "ftag": "FTAG", "hthg": "HTHG", "htag": "HTAG"}
 
 
 def scan_results(spark: SparkSession, path: str) -> DataFrame:
     """Typed match rows of a folder of result CSVs, one odds block picked per row."""
+    numbers = [
+        *[c for cols, _ in K.ODDS_1X2_CHAIN for c in cols], *[c for pair in (*K.ODDS_TOTAL_CHAIN, *K.ODDS_HANDICAP_CHAIN) for c in pair],
+        *K.HANDICAP_LINE_CHAIN, *GOAL_COLUMNS.values(), *K.STAT_COLUMNS.values(),
+    ]
+    cols = lambda names: [F.col(f"`{n}`") for n in names]
     odds = first_complete(
-        [[_value(c) for c in cols] for cols, _ in K.ODDS_1X2_CHAIN], ["h", "d", "a"],
-        [source for _, source in K.ODDS_1X2_CHAIN],
+        [cols(c) for c, _ in K.ODDS_1X2_CHAIN], ["h", "d", "a"], [source for _, source in K.ODDS_1X2_CHAIN],
     )
-    totals = first_complete([[_value(c) for c in pair] for pair in K.ODDS_TOTAL_CHAIN], ["over", "under"])
-    handicap = first_complete([[_value(c) for c in pair] for pair in K.ODDS_HANDICAP_CHAIN], ["home", "away"])
-    line = F.coalesce(*[_value(c) for c in K.HANDICAP_LINE_CHAIN])
-    goals = [_value(src).cast("int").alias(dst) for dst, src in
-             (("fthg", "FTHG"), ("ftag", "FTAG"), ("hthg", "HTHG"), ("htag", "HTAG"))]
-    stats = [_value(src).alias(dst) for dst, src in K.STAT_COLUMNS.items()]
-    picked = _dated(result_cells(spark, path)).select(
+    totals = first_complete([cols(pair) for pair in K.ODDS_TOTAL_CHAIN], ["over", "under"])
+    handicap = first_complete([cols(pair) for pair in K.ODDS_HANDICAP_CHAIN], ["home", "away"])
+    line = F.coalesce(*cols(K.HANDICAP_LINE_CHAIN))
+    goals = [F.col(src).cast("int").alias(dst) for dst, src in GOAL_COLUMNS.items()]
+    stats = [F.col(src).alias(dst) for dst, src in K.STAT_COLUMNS.items()]
+    picked = _result_rows(spark, path, numbers).select(
         *_fixture(), "league", "season", *goals, odds.alias("o"), totals.alias("t"), line.alias("ah_line"),
         handicap.alias("x"), *stats,
     )
@@ -146,8 +159,9 @@ def scan_opening_odds(spark: SparkSession, path: str) -> DataFrame:
 
     A fixture listed twice keeps the row of the later season file, then the larger triple.
     """
-    opening = first_quoted([[_value(c) for c in cols] for cols in K.OPENING_CHAIN], ["h", "d", "a"])
-    rows = _dated(result_cells(spark, path)).select(*_fixture(), "season", opening.alias("o")).filter("o IS NOT NULL")
+    opening = first_quoted([[F.col(c) for c in cols] for cols in K.OPENING_CHAIN], ["h", "d", "a"])
+    read = _result_rows(spark, path, [c for cols in K.OPENING_CHAIN for c in cols])
+    rows = read.select(*_fixture(), "season", opening.alias("o")).filter("o IS NOT NULL")
     last = rows.groupBy("date", "home", "away").agg(F.max_by("o", F.struct("season", "o")).alias("o"))
     return last.select(
         "date", "home", "away", F.col("o.h").alias("open_h"), F.col("o.d").alias("open_d"), F.col("o.a").alias("open_a")
