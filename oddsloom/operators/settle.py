@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.outcomes import brier, outcome_of_text
 from ..functions.staking import freshness_bucket
+from ..session import keep
 from . import resample as R
 
 
@@ -118,7 +119,7 @@ def roi_summary(bets: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def clv_summary(bets: DataFrame, column: str, id_col: str, resamples: int = K.RESAMPLES) -> DataFrame:
     """Closing-line value: n, mean, share above 0, interval and reading."""
-    rows = bets.filter(F.col(column).isNotNull())
+    rows = keep(bets.filter(F.col(column).isNotNull()).select(id_col, column))  # read by the mean, its draws and the share
     ci = R.mean_interval(rows, column, id_col, resamples=resamples)
     up = rows.agg(F.avg(F.when(F.col(column) > 0, 1.0).otherwise(0.0)).alias("positive_share"))
     reading = (
@@ -134,16 +135,21 @@ def clv_skipped(bets: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("clv_skipped", F.lit("no_closing_odds")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def _scored_by_age(entries: DataFrame, id_col: str) -> DataFrame:
+    """id, bucket of the quote's age and both scores, kept: table, points and draws read them several times."""
+    return keep(entries.select(
+        id_col, freshness_bucket(F.col("odds_age_days")).alias("bucket"), brier(F.col("probs"), F.col("outcome")).alias("score"),
+        F.when(F.col("market").isNotNull(), brier(F.col("market"), F.col("outcome"))).alias("reference"),
+    ))
+
+
 def freshness_table(entries: DataFrame, id_col: str, resamples: int = K.RESAMPLES) -> DataFrame:
     """Brier against the market by quote age, with a paired interval per bucket.
 
     ``entries``: id, outcome, probs, market (triple or NULL), odds_age_days. Buckets under the
     minimum size, or with too few quoted rows, give no gap.
     """
-    rows = entries.select(
-        id_col, freshness_bucket(F.col("odds_age_days")).alias("bucket"), brier(F.col("probs"), F.col("outcome")).alias("score"),
-        F.when(F.col("market").isNotNull(), brier(F.col("market"), F.col("outcome"))).alias("reference"),
-    )
+    rows = _scored_by_age(entries, id_col)
     paired = rows.filter("reference IS NOT NULL")
     ci = R.paired_gap_interval(paired, "score", "reference", id_col, ["bucket"], resamples=resamples).select("bucket", "lo", "hi")
     table = rows.groupBy("bucket").agg(
@@ -162,10 +168,7 @@ def stale_alert(entries: DataFrame, id_col: str, resamples: int = K.RESAMPLES) -
     The point is the difference of the two gaps of ``freshness_table``; a bucket with fewer rows, or
     fewer quoted rows, than the minimum has no gap, and then there is no point, interval or alert.
     """
-    rows = entries.select(
-        id_col, freshness_bucket(F.col("odds_age_days")).alias("bucket"), brier(F.col("probs"), F.col("outcome")).alias("score"),
-        F.when(F.col("market").isNotNull(), brier(F.col("market"), F.col("outcome"))).alias("reference"),
-    )
+    rows = _scored_by_age(entries, id_col)
     sides = {}
     for side in ("stale", "fresh"):
         one = F.col("bucket") == side
