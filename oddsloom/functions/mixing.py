@@ -58,6 +58,16 @@ def mix_array(state: int | np.ndarray, key: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(15))
 
 
+def mix_into(state: np.ndarray, low: np.ndarray, out: np.ndarray, shifted: np.ndarray) -> None:
+    """``mix_array`` of 32-bit states and keys, in the caller's arrays."""
+    np.add(state, low, out=out)
+    for bits, factor in ((16, FACTOR_1), (15, FACTOR_2), (15, None)):
+        np.right_shift(out, np.uint32(bits), out=shifted)
+        np.bitwise_xor(out, shifted, out=out)
+        if factor is not None:
+            np.multiply(out, np.uint32(factor), out=out)
+
+
 def finalise_sql(x: str) -> str:
     a = f"((xor({x}, ({x}) >> 16) * {FACTOR_1}) & {MASK})"
     b = f"((xor({a}, {a} >> 15) * {FACTOR_2}) & {MASK})"

@@ -66,9 +66,11 @@ def power_exponent(odds: Column) -> Column:
         start = F.try_divide(F.lit(math.log(3.0)), F.array_max(l))
         return F.aggregate(F.sequence(F.lit(1), F.lit(POWER_STEPS)), start, step)
 
-    root = F.transform(F.array(logs), newton)[0]
+    root = F.transform(F.array(logs), newton)
     fair_already = F.abs(book_sum(odds) - 1.0) < 1e-12
-    return F.when(fair_already, 1.0).when((root >= LEAST_EXPONENT) & (root <= MOST_EXPONENT), root)
+    # the root is bound by a lambda: an expression that is named three times would be solved three times
+    return F.when(fair_already, 1.0).otherwise(
+        F.transform(root, lambda k: F.when((k >= LEAST_EXPONENT) & (k <= MOST_EXPONENT), k))[0])
 
 
 def fair_power(odds: Column) -> Column:

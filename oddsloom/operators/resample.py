@@ -2,8 +2,8 @@
 
 The bootstrap weighs rows instead of drawing them: in replicate b a row counts w times, w being the
 Poisson(1) quantile of an integer hash of (seed, b, id). A weight depends on its own row alone, so
-each task turns its rows into ``resamples`` weighted sums in one vectorised pass, and only those
-sums are shuffled: no row is copied, ranked or joined, whatever the number of replicates. The same
+each task turns its rows into ``resamples`` weighted sums in one vectorised pass; rows are dealt once to
+even parts, and but for that only those sums are shuffled: no row is copied, ranked or joined, whatever the number of replicates. The same
 seed gives the same interval on any cluster layout, and a lost task recomputes exactly its own
 weights.
 """
@@ -21,12 +21,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import CONFIDENCE, PERMUTATIONS, RESAMPLES, SEED
-from ..functions.mixing import RANGE, mix, mix_array
+from ..functions.mixing import MASK, RANGE, mix, mix_array, mix_into
+from ..session import spread
 from .windows import rank_within
 
 SLICE_BITS = 20  # 32-bit hashes fall into 4096 equal slices
 BLOCK_ROWS = 4096  # rows that a permutation moves among each other
-CELLS = 1 << 22  # weights worked out at a time
+CELLS = 1 << 16  # weights worked out at a time: their arrays stay in a core's cache
+BLOCK_IDS = 64  # rows among them
+COMMON = 6  # weights up to here are counted for all cells, the few larger ones looked up
 
 
 def poisson_steps() -> list[int]:
@@ -44,13 +47,35 @@ def poisson_steps() -> list[int]:
 STEPS = poisson_steps()
 
 
-def weights(seed: int, replicates: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """(rows, replicates) Poisson weights."""
-    h = mix_array(mix_array(seed, replicates)[None, :], ids[:, None])
-    out = np.zeros(h.shape, np.uint8)
-    for step in STEPS:
-        out += h >= np.uint32(step)
-    return out
+def add_weighted(total: np.ndarray, seed: int, ids: np.ndarray, values: np.ndarray) -> None:
+    """Add every replicate's Poisson-weighted sums of ``values`` (columns, rows) to ``total`` (columns, replicates)."""
+    states, low = mix_array(seed, np.arange(total.shape[1])), (ids & MASK).astype(np.uint32)
+    steps, eight = np.array(STEPS, np.uint32), np.arange(8)
+    width = CELLS // BLOCK_IDS
+    for b in range(0, len(states), width):
+        state = states[b : b + width]
+        shape = (min(BLOCK_IDS, len(low)), len(state))
+        hashes, shifted, wide = np.empty(shape, np.uint32), np.empty(shape, np.uint32), np.empty(shape)
+        room = -(-hashes.size // 8) * 8  # whole words of eight cells
+        counts, above = np.empty(room, np.uint8), np.zeros(room, bool)
+        for at in range(0, len(low), BLOCK_IDS):
+            part = low[at : at + BLOCK_IDS, None]
+            h = hashes[: len(part)]
+            mix_into(state, part, h, shifted[: len(part)])
+            cells = h.reshape(-1)
+            above[len(cells) :] = False
+            np.greater_equal(cells, steps[0], out=above[: len(cells)])
+            counts[:] = above
+            for step in steps[1:COMMON]:
+                np.greater_equal(cells, step, out=above[: len(cells)])
+                np.add(counts, above.view(np.uint8), out=counts)
+            np.greater_equal(cells, steps[COMMON], out=above[: len(cells)])
+            rare = (np.flatnonzero(above.view(np.uint64) != 0)[:, None] * 8 + eight).ravel()
+            rare = rare[rare < len(cells)]
+            counts[rare] = np.searchsorted(steps, cells[rare], side="right")
+            w = wide[: len(part)]
+            w[:] = counts[: len(cells)].reshape(h.shape)
+            total[:, b : b + width] += values[:, at : at + BLOCK_IDS] @ w
 
 
 def replicate_means(
@@ -73,18 +98,13 @@ def replicate_means(
             for key, place in _positions(batch, n_keys).items():
                 if key not in total:
                     total[key] = np.zeros((1 + len(cols), resamples))
-                for at in range(0, len(place), 1024):
-                    part = place[at : at + 1024]
-                    width = max(1, CELLS // len(part))
-                    for b in range(0, resamples, width):
-                        w = weights(seed, np.arange(b, min(b + width, resamples)), ids[part]).astype(np.float64)
-                        total[key][:, b : b + width] += values[:, part] @ w
+                add_weighted(total[key], seed, ids[place], values[:, place])
         for key, found in total.items():
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array([k], t) for k, t in zip(key, kinds)), pa.array([found.T.tolist()], pa.list_(pa.list_(pa.float64())))], names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields), "_sums array<array<double>>"])
-    parts = rows.mapInArrow(sums, schema).select(*keys, F.posexplode("_sums").alias("b", "_s"))
+    parts = spread(rows, "_id").mapInArrow(sums, schema).select(*keys, F.posexplode("_sums").alias("b", "_s"))
     added = parts.groupBy(*keys, "b").agg(*[F.sum(F.col("_s")[i]).alias(f"_{i}") for i in range(1 + len(cols))])
     return added.select(*keys, "b", *[F.try_divide(F.col(f"_{i + 1}"), F.col("_0")).alias(c) for i, c in enumerate(cols)])
 

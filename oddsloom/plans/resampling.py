@@ -12,6 +12,7 @@ from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import resample as R
 from ..operators.resample import BLOCK_ROWS, STEPS
+from ..session import keep
 from ..views import Tables
 from .joining import SQUAD_SQL, squad_matches
 from .registry import query
@@ -23,10 +24,11 @@ B = RESAMPLES
 def scored_pairs(t: Tables) -> DataFrame:
     """Test rows with the Brier of the frequency forecast and of the market."""
     rows = market_forecasts(t)
-    return rows.select(
+    # kept: points and draws read the rows several times, and a filter on b_market would solve the margins anew each time
+    return keep(rows.select(
         "match_id", "league", "date", "outcome", brier(F.col("freq"), F.col("outcome")).alias("b_freq"),
         F.when(F.col("market").isNotNull(), brier(F.col("market"), F.col("outcome"))).alias("b_market"),
-    )
+    ))
 
 
 PAIRS = f"""{FORECAST_SQL},
