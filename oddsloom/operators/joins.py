@@ -65,16 +65,22 @@ def nearest_result(
 ) -> DataFrame:
     """Each bet with the closest played match of the same fixture within the tolerance.
 
-    The window becomes 2 * tolerance + 1 dated copies and an equi-join. Ties go to the earlier
-    date, then the lower match id. Bets without a match keep NULLs.
+    Of a fixture's results on a day only the lowest match id can win, so results collapse to one row per fixture and day before
+    their 2 * tolerance + 1 dated copies; the best of these per fixture and day meets each bet once, however many matches a
+    fixture has. Ties go to the earlier date, then the lower match id. Bets without a match keep NULLs.
     """
-    shifts = F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance))).alias("shift")
-    wanted = bets.select(id_col, *FIXTURE, "date", shifts).withColumn("on_date", F.expr("date_add(date, shift)")).drop("date")
+    rank = F.struct(F.abs("shift"), "on_date", "match_id")
     played = matches.filter("fthg IS NOT NULL AND ftag IS NOT NULL").select(
         *FIXTURE, F.col("date").alias("on_date"), "match_id", F.struct(*payload).alias("_p")
     )
-    best = F.min_by(F.struct("shift", "on_date", "match_id", "_p"), F.struct(F.abs("shift"), "on_date", "match_id"))
-    found = wanted.join(played, [*FIXTURE, "on_date"]).groupBy(id_col).agg(best.alias("_f"))
+    first = F.min_by(F.struct("match_id", "_p"), F.struct("match_id"))  # a struct, so that a NULL id comes first and isn't left out
+    daily = played.groupBy(*FIXTURE, "on_date").agg(first.alias("_r")).select(*FIXTURE, "on_date", "_r.*")
+    shifts = F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance))).alias("shift")
+    reach = daily.select("*", shifts).withColumn("date", F.expr("date_sub(on_date, shift)"))
+    best = F.min_by(F.struct("shift", "on_date", "match_id", "_p"), rank)
+    near = reach.groupBy(*FIXTURE, "date").agg(best.alias("_n"))
+    hits = bets.select(id_col, *FIXTURE, "date").join(near, [*FIXTURE, "date"]).select(id_col, "_n.*")
+    found = hits.repartition(id_col).groupBy(id_col).agg(best.alias("_f"))  # sorted once, behind the shuffle
     return bets.join(
         found.select(
             id_col, F.col("_f.shift").alias("shift"), F.col("_f.on_date").alias("result_date"),
@@ -108,14 +114,15 @@ def snapshot_for(targets: DataFrame, snapshots: DataFrame, id_col: str, by: Sequ
     """Each target (id, fixture, date) with the snapshot of its meeting: kick-off on the day, or a
     day before or after, in this order. Adds the quote's age; targets without one are left out.
 
-    Three dated copies of a target and an equi-join on the meeting.
+    Three dated copies of a meeting, the best per day, and an equi-join that targets enter once.
     """
-    shifts = F.explode(F.array(*[F.lit(d) for d in (0, -1, 1)])).alias("_shift")
-    dated = targets.select(id_col, *by, "date", shifts).withColumn("commence_date", F.expr("date_add(date, _shift)"))
-    hits = dated.join(snapshots, [*by, "commence_date"])
     kept = [c for c in snapshots.columns if c not in by]
     rank = F.struct(F.abs("_shift"), "commence_date")
-    best = hits.groupBy(id_col).agg(F.min_by(F.struct("date", *kept), rank).alias("_b")).select(id_col, "_b.*")
+    shifts = F.explode(F.array(*[F.lit(d) for d in (0, -1, 1)])).alias("_shift")
+    dated = snapshots.select("*", shifts).withColumn("date", F.expr("date_sub(commence_date, _shift)"))
+    near = dated.groupBy(*by, "date").agg(F.min_by(F.struct("_shift", *kept), rank).alias("_n")).select(*by, "date", "_n.*")
+    hits = targets.select(id_col, *by, "date").join(near, [*by, "date"])
+    best = hits.repartition(id_col).groupBy(id_col).agg(F.min_by(F.struct("date", *kept), rank).alias("_b")).select(id_col, "_b.*")
     return best.withColumn("age_days", F.greatest(F.lit(0), F.datediff("date", F.to_date("fetched_at"))))
 
 
