@@ -9,15 +9,26 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import odds as O
-from ..functions.outcomes import brier
-from .forecasts import walk_forward
-from .strengths import SETTING, Setting, settings_frame
+from ..functions.outcomes import brier, outcome_index
+from .baselines import with_week
+from .forecasts import predict
+from .strengths import SETTING, Setting, fit_all, settings_frame, target_folds
 
 
 def validation_grid(played: DataFrame, seasons: Sequence, settings: Sequence[Setting]) -> DataFrame:
-    """Mean Brier per setting: every (league, week, setting) fit runs in the same job."""
-    preds = walk_forward(played, seasons, settings)
-    scores = preds.groupBy(*SETTING).agg(F.count("*").alias("n"), F.avg(brier(F.col("model"), F.col("outcome"))).alias("brier"))
+    """Mean Brier per setting: every (league, week, setting) fit runs in the same job.
+
+    All matches of one pairing in a week share their forecast, so each setting scores a pairing's week once, weighted by the
+    matches of each outcome: at most one row per pairing and week, whatever the number of matches.
+    """
+    strengths = fit_all(played, target_folds(played, seasons), settings)
+    outcome = outcome_index(F.col("fthg"), F.col("ftag"))
+    target = with_week(played.filter(F.col("season").isin(list(seasons))))
+    counts = [F.count_if(outcome == k).cast("double").alias(f"n{k}") for k in range(3)]
+    meetings = target.groupBy("league", "week", "home", "away").agg(F.count("*").alias("n"), *counts)
+    loss = sum((F.col(f"n{k}") * brier(F.col("model"), F.lit(k)) for k in range(3)), F.lit(0.0))
+    known = F.nullif(F.sum(F.col("n0") + F.col("n1") + F.col("n2")), F.lit(0.0))
+    scores = predict(meetings, strengths).groupBy(*SETTING).agg(F.sum("n").alias("n"), (F.sum(loss) / known).alias("brier"))
     return scores.join(settings_frame(played.sparkSession, settings), list(SETTING))
 
 
